@@ -20,6 +20,8 @@ _LOWER[65:91] += 32
 #: Word separators: space and 0x09-0x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: For word features: every ASCII byte but letters, digits and the apostrophe separates as well.
+PUNCT = np.array([c < 128 and not chr(c).isalnum() and c != 39 for c in range(256)])
 _pow: dict[str, np.ndarray] = {"b": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
 
 
@@ -81,18 +83,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             i = j
 
 
-def words(buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, rows: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the first word's index for each row (n + 1 entries)."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(rows), np.int64)
-    solid = ~_SPACE[buf]
+    gap = space[buf]
+    solid = ~gap
     edge = np.zeros(len(buf) + 1, bool)
     edge[rows] = True
     first = solid.copy()
     first[1:] &= ~solid[:-1] | edge[1:-1]
     last = solid
-    last[:-1] &= _SPACE[buf[1:]] | edge[1:-1]
+    last[:-1] &= gap[1:] | edge[1:-1]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, rows)
 

@@ -13,7 +13,7 @@ and a document with more unshared shingles there than it may miss has none.  Equ
 
 Pairs are not expanded within groups: each document is first verified against one partner per round
 (star links), components are formed, and only pairs of different components that still share a signature
-and pass the length and shared-count bounds are verified by exact intersection.
+and pass the length, shared-count and bitmap bounds are verified by exact intersection.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ HEAVY_MOST = 1 << 18  # at most so many frequent shingles are broadcast (2 MB)
 HEAVY_LEAST = 32  # documents that make a shingle frequent, at least
 KEY_BITS = 40  # counts are kept by this many leading bits of a hash; clashes only weaken the filter
 STAR_ROUNDS = 2
+MAP_WORDS = 16  # bits of one document that another lacks bound their intersection before it is computed
 
 _SCAN = "kind int, id long, n int, sig long, seen int, bucket int, blob binary, toks binary"
 _COUNT = "kind int, key long, val int"
@@ -194,6 +195,17 @@ def _signatures(heavy: np.ndarray, num: int, den: int):
     return run
 
 
+def _bitmaps(batches):
+    """Each set as MAP_WORDS x 64 bits, one bit a shingle."""
+    for b in batches:
+        out = np.zeros((b.num_rows, MAP_WORDS), np.uint64)
+        for k, t in enumerate(b.column("toks")):
+            bit = T.mix(np.frombuffer(t.as_buffer(), np.uint64)) % _U(64 * MAP_WORDS)
+            np.bitwise_or.at(out[k], (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
+        out = out.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(out[:, i]) for i in range(MAP_WORDS))], names=["id", *(f"b{i}" for i in range(MAP_WORDS))])
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by exact intersection of the whole sets."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -257,7 +269,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             pairs = pairs.groupBy("x.id", "sid").count().groupBy("id").agg(F.max_by("sid", F.struct("count", -F.col("sid"))).alias("sid"))
             pairs = pairs.select(F.least("id", "sid").alias("a"), F.greatest("id", "sid").alias("b")).distinct()
         else:
-            rest = st.put(at.join(groups.select("s"), "s", "left_semi"), "rest")
+            rest = at.join(groups.select("s"), "s", "left_semi")
+            maps = sets.select("id", "toks").mapInArrow(_bitmaps, "id long, " + ", ".join(f"b{i} long" for i in range(MAP_WORDS)))
+            rest = st.put(rest.join(maps, "id"), "rest")
+            lack = {p: " + ".join(f"bit_count({p[0]}.b{i} & ~{p[1]}.b{i})" for i in range(MAP_WORDS)) for p in ("xy", "yx")}
+            fits += "".join(f" AND {num + den} * ({p[0]}.n - ({m})) >= {num} * (x.n + y.n)" for p, m in lack.items())
             pairs = rest.alias("x").join(rest.alias("y"), "s").where(f"x.c < y.c AND {fits}")
             pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         found = st.put(_verify(pairs, sets, num, den), f"links-{k}")
