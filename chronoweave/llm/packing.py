@@ -4,16 +4,17 @@ Documents are tokenised once; whole multiples of the capacity are cut off as ful
 remains (0 < length < capacity) is packed.  The driver sees only the histogram of remainders, at most
 ``capacity - 1`` numbers.  A linear program over patterns covers the histogram: the simplex basis starts
 with one-length patterns, an unbounded-knapsack dynamic program prices new patterns by the duals, and the
-loop ends at optimality or within GAP of the material bound.  Pattern counts are rounded down and the
-rest, less than one sequence a pattern, is packed by best fit.  Remainders are ranked within their length
-by partition offsets (no global sort), and a rank alone gives the sequence and the offset.
+loop ends at optimality, within GAP of the material bound, or after MOST_COLUMNS columns.  Pattern counts
+are rounded down and the rest, less than one sequence a pattern, is packed by best fit.  Documents may be
+cut, so the fullest patterns are kept, the documents of the others are laid end to end, and that stream
+fills what the kept ones leave open (gaps under FILL_LEAST stay padding).  Remainders are ranked within
+their length by partition offsets (no global sort), and a rank alone gives sequences and offsets.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from . import _text as T
 from ._store import Stage, plain_docs, join_checked
 
 CAPACITY = 1024
-GAP, MOST_COLUMNS = 5e-4, 3000
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, size int, at long"
+GAP, MOST_COLUMNS, FILL_LEAST = 1e-3, 400, 8
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, size int, at long, ids binary"
 
 
 def encoder(path: str):
@@ -62,9 +63,19 @@ def encoder(path: str):
     return encode
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Two bytes an id where they all fit."""
+    x = np.frombuffer(ids, "<u4")
+    return x.astype("<u2").tobytes() if x.max() < 1 << 16 else ids
+
+
+def _wide(ids: bytes, size: int) -> bytes:
+    return ids if len(ids) == 4 * size else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def _cut(path: str, capacity: int):
     """Pieces of each document, with the piece's rank among those of its length in this partition."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("at", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("at", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         encode, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -75,7 +86,7 @@ def _cut(path: str, capacity: int):
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     size = min(capacity, n - start)
-                    rows.append((doc, start, size, zlib.crc32(ids[4 * start: 4 * (start + size)]), n, part, size, int(seen[size])))
+                    rows.append((doc, start, size, zlib.crc32(ids[4 * start: 4 * (start + size)]), n, part, size, int(seen[size]), None if size == capacity else _narrow(ids[4 * start:])))
                     seen[size] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -83,25 +94,25 @@ def _cut(path: str, capacity: int):
 
 
 def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The counts of each size, within the capacity, that are worth most (unbounded knapsack)."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    s, w = sizes[order], worth[order]
-    for c in range(1, capacity + 1):
-        m = np.searchsorted(s, c, "right")
-        best[c], pick[c] = best[c - 1], -1
-        if m:
-            v = best[c - s[:m]] + w[:m]
-            k = int(v.argmax())
-            if v[k] > best[c] + 1e-12:
-                best[c], pick[c] = v[k], k
+    """The counts of each size, within the capacity, that are worth most (unbounded knapsack).
+
+    ``sizes`` ascend.  Sizes that a smaller one is worth as much as are left out; 1, 2, 4, ... copies of
+    each other are taken or not, one vector step over all capacities each."""
+    best, steps = np.zeros(capacity + 1), []
+    for k in np.flatnonzero(worth > np.maximum.accumulate(np.concatenate([[0.0], worth[:-1]])) + 1e-12):
+        n = 1
+        while n * sizes[k] <= capacity:
+            s = n * int(sizes[k])
+            new = best[:-s] + n * worth[k]
+            better = new > best[s:] + 1e-12
+            steps.append((int(k), n, s, better))
+            best[s:] = np.where(better, new, best[s:])
+            n *= 2
     out, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[order[pick[c]]] += 1
-            c -= s[pick[c]]
+    for k, n, s, better in reversed(steps):
+        if c >= s and better[c - s]:
+            out[k] += n
+            c -= s
     return float(best[capacity]), out
 
 
@@ -129,7 +140,8 @@ def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.n
         x[k] = ratio[k]
         np.maximum(x, 0, out=x)
         row = inverse[k] / d[k]
-        inverse -= np.outer(d, row)
+        used = np.flatnonzero(np.abs(d) > 1e-12)
+        inverse[used] -= np.outer(d[used], row)
         inverse[k] = row
         basis[:, k] = column
     return basis.T.astype(np.int64), x
@@ -153,37 +165,65 @@ def _fit_rest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[list[i
     return bins
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each size: the first rank of each run, and the run's first sequence and offset."""
-    if not histogram:
-        return {}
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict, np.ndarray]:
+    """Where the ranked remainders of each size go.
+
+    First: by size, (first rank, sequence, offset) of runs of ranks that lie whole in consecutive
+    sequences, the first rank of those that are cut, and their place in the stream.  Second: the gaps
+    that the stream fills, rows (stream position, gap, first sequence, offset), n sequences each."""
     sizes = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[int(s)] for s in sizes], np.int64)
-    use, x = patterns(sizes, counts.astype(float), capacity)
-    times = np.floor(x + 1e-9).astype(np.int64)
-    left, runs, sequence = counts.copy(), [[] for _ in sizes], 0
-
-    def place(items, n):
-        """``n`` sequences that hold one of each item."""
-        nonlocal sequence
+    groups, left = [], counts.copy()
+    if len(sizes):
+        use, x = patterns(sizes, counts.astype(float), capacity)
+        for p in np.flatnonzero(x >= 1):
+            held = np.flatnonzero(use[p])
+            n = int(min(x[p] + 1e-9, (left[held] // use[p][held]).min()))
+            if n:
+                left[held] -= n * use[p][held]
+                items = np.repeat(held, use[p][held])
+                groups.append((capacity - int(sizes[items].sum()), n, items[np.argsort(-sizes[items], kind="stable")]))
+        groups += [(capacity - int(sizes[items].sum()), 1, items) for items in _fit_rest(sizes, left, capacity)]
+    groups.sort(key=lambda g: g[0])
+    open_, tokens = 0, sum((capacity - g[0]) * g[1] for g in groups)
+    kept = 0
+    for gap, n, _ in groups:  # as long as the documents of the others can fill every gap
+        fill = gap * n if gap >= FILL_LEAST else 0
+        if tokens - (capacity - gap) * n < open_ + fill:
+            break
+        open_, tokens, kept = open_ + fill, tokens - (capacity - gap) * n, kept + 1
+    runs, rank, gaps, sequence, stream = [[] for _ in sizes], np.zeros(len(sizes), np.int64), [], 0, 0
+    for gap, n, items in groups[:kept]:
         offset = 0
         for k in items:
-            runs[k].append((n, sequence, offset))
-            left[k] -= n
+            runs[k].append((rank[k], sequence, offset))
+            rank[k] += n
             offset += int(sizes[k])
+        if gap >= FILL_LEAST:
+            gaps.append((stream, gap, sequence, capacity - gap))
+            stream += gap * n
         sequence += n
-
-    for p in np.flatnonzero(times):
-        items = np.repeat(np.flatnonzero(use[p]), use[p][use[p] > 0])
-        n = int(min(times[p], (left[items] // use[p][items]).min()))
-        if n:
-            place(items[np.argsort(-sizes[items], kind="stable")], n)
-    for items in _fit_rest(sizes, left.copy(), capacity):
-        place(items, 1)
-    out = {}
+    gaps.append((stream, capacity, sequence, 0))
+    out, place = {}, 0
     for k, r in enumerate(runs):
-        got, seq, off = (np.array(c, np.int64) for c in zip(*r, strict=True))
-        out[int(sizes[k])] = (np.cumsum(got) - got, seq, off)
+        out[int(sizes[k])] = (*(np.array(c, np.int64) for c in (zip(*r, strict=True) if r else ((), (), ()))), int(rank[k]), place)
+        place += int((counts[k] - rank[k]) * sizes[k])
+    return out, np.array(gaps, np.int64)
+
+
+def spread(position: int, size: int, gaps: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(offset in the document, length, sequence, offset) of the pieces of a stream range."""
+    out, at, end = [], position, position + size
+    k = int(np.searchsorted(gaps[:, 0], at, "right")) - 1
+    while at < end:
+        base, gap, sequence, offset = (int(v) for v in gaps[k])
+        limit = int(gaps[k + 1, 0]) if k + 1 < len(gaps) else end
+        while at < min(end, limit):
+            j, inside = divmod(at - base, gap)
+            n = min(gap - inside, end - at)
+            out.append((at - position, n, sequence + j, offset + inside))
+            at += n
+        k += 1
     return out
 
 
@@ -201,22 +241,35 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     ahead = st.put(ahead, "ahead")
     total = {r["size"]: r["n"] for r in ahead.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     full = total.pop(capacity, 0)
-    slots = plan(total, capacity)
+    slots, gaps = plan(total, capacity)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def place(batches):
         for b in batches:
             size, rank = b.column("size").to_numpy(), b.column("rank").to_numpy()
-            seq, off = rank.copy(), np.zeros(len(rank), np.int64)
+            cols = [b.column(c).to_numpy(zero_copy_only=False).copy() for c in names[:5]] + [rank.copy(), np.zeros(len(rank), np.int64)]
+            whole, more = np.ones(len(rank), bool), []
             order = np.argsort(size, kind="stable")
             at = T.starts_of(size[order])
-            for lo, hi in zip(at, chain(at[1:], [len(order)]), strict=False):
+            for lo, hi in zip(at, [*at[1:], len(order)], strict=True):
                 s, rows = int(size[order[lo]]), order[lo:hi]
-                if s < capacity:
-                    first, sequence, offset = slots[s]
-                    k = np.searchsorted(first, rank[rows], "right") - 1
-                    seq[rows], off[rows] = full + sequence[k] + rank[rows] - first[k], offset[k]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(seq), pa.array(off)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                if s == capacity:
+                    continue
+                first, sequence, offset, pool, place_ = slots[s]
+                kept = rows[rank[rows] < pool]
+                k = np.searchsorted(first, rank[kept], "right") - 1
+                cols[5][kept], cols[6][kept] = full + sequence[k] + rank[kept] - first[k], offset[k]
+                for r in rows[rank[rows] >= pool].tolist():
+                    whole[r] = False
+                    ids = _wide(b.column("ids")[r].as_py(), s)
+                    more += [(r, i, n, zlib.crc32(ids[4 * i: 4 * (i + n)]), full + q, o) for i, n, q, o in spread(place_ + (int(rank[r]) - pool) * s, s, gaps)]
+            if more:
+                r, i, n, crc, q, o = (np.array(c, np.int64) for c in zip(*more, strict=True))
+                cut = [cols[0][r], cols[1][r] + i, n, crc, cols[4][r], q, o]
+                cols = [np.concatenate([c[whole], x]) for c, x in zip(cols, cut, strict=True)]
+            null = np.isnan(cols[0]) if cols[0].dtype.kind == "f" else None
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=null if j == 0 else None) if null is None or j else pa.array(np.where(null, 0, c).astype(np.int64), mask=null) for j, c in enumerate(cols)], names=names)
 
     ranked = join_checked(pieces, ahead.select("part", "size", "before"), ["part", "size"], "inner", 24)
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "size", (F.col("at") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    ranked = ranked.select(*names[:5], "size", (F.col("at") + F.col("before")).alias("rank"), "ids")
+    return ranked.mapInArrow(place, ", ".join(f"{n} long" for n in names))
