@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, toxicity, warc
+from . import packing, suffix_dedup, toxicity, warc
 from .jaccard import jaccard_components
 
 
@@ -21,6 +21,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte runs of earlier ones."""
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
@@ -42,7 +47,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_warc, op8_toxicity, op9_jaccard_join)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op3_packing, op5_warc, op8_toxicity, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
