@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and test items are words (lower-cased, ASCII punctuation separates).  Seeds are the hashes of
+Documents and test items are words (case-folded, ASCII punctuation separates).  Seeds are the hashes of
 MATCH consecutive words; a scan finds documents that share seeds with an item (the benchmark travels in
 blocks of bounded size, one scan a block).  Where the shared seeds could cover enough of the item, tiles
 are set: the longest unmarked common run is marked in both, again and again, down to MATCH words, runs
@@ -130,8 +130,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
     Null and empty texts, of documents or items, match nothing; repeated rows give repeated pairs (equal
     items once).  Other columns are ignored; an empty table gives an empty result.
     """
-    src = plain_docs(docs)
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+    fold = F.lower(F.upper("text"))  # so that capitals and sharp s agree in every script
+    src = plain_docs(docs).withColumn("text", fold)
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).withColumn("text", fold).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + int(total) // (4 * BLOCK_WORDS)
     schema = "doc_id long, item_id long, item_tokens long, covered_tokens long, n_tiles long, longest_tile long"
