@@ -6,7 +6,9 @@ at the end, so the hash of any byte range costs O(1) once a batch has been summe
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: For word features: every ASCII byte but letters, digits and the apostrophe separates as well.
 PUNCT = np.array([c < 128 and not chr(c).isalnum() and c != 39 for c in range(256)])
-_pow: dict[str, np.ndarray] = {"b": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow["b"]) < n:
+    """Powers of the base and of its inverse.  They outlive a task in a module of their own, as this
+    module travels with the tasks and is a new one in each."""
+    _pow = sys.modules.setdefault("_chronoweave_powers", ModuleType("_chronoweave_powers")).__dict__
+    if "b" not in _pow or len(_pow["b"]) < n:
         for k, base in (("b", _BASE), ("i", _INV)):
             p = np.full(max(n, 1 << 16), _U(base))
             p[0] = 1
@@ -70,7 +74,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text at most (or one longer row)."""
     for b in batches:
         if not b.num_rows:
@@ -137,3 +141,9 @@ def starts_of(keys: np.ndarray) -> np.ndarray:
     new[0] = True
     np.not_equal(keys[1:], keys[:-1], out=new[1:])
     return np.flatnonzero(new)
+
+
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal values in a sorted array."""
+    at = starts_of(keys).tolist()
+    return list(zip(at, [*at[1:], len(keys)][: len(at)], strict=True))

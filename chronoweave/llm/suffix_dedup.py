@@ -8,9 +8,10 @@
    grams are independent, and within a bucket equal windows are stored once with their smallest doc_id.
 3. Suffixes.  A bucket's distinct windows are cut into shards; each shard's suffixes are sorted (prefix
    doubling) and give its Burrows-Wheeler transform; the transforms are merged by interleave refinement:
-   starting from the shards laid end to end, one stable pass by the preceding symbol sorts by one more
-   symbol.  The pass at which neighbours first part is their common prefix; runs of 50 and more are the
-   repeated intervals.  Suffixes are never sorted again across shards.
+   starting from the shards' order by leading symbols, each backward step sorts by one more symbol.  The
+   pass at which neighbours part is their common prefix; blocks that 50 passes leave whole are the
+   repeated intervals.  Suffixes are never sorted again across shards.  Windows that differ from all
+   others of their gram on both sides of it hold no repeat and take no part.
 4. A start position of a text is a repeat if its interval holds a smaller doc_id; the 50 bytes from
    there go.
 """
@@ -30,6 +31,8 @@ from ._store import Stage, join_checked, partitions, plain_docs, small
 _U = np.uint64
 LENGTH, GRAM = 50, 19
 SPAN = LENGTH - GRAM + 1  # grams of one string
+SIDE = (LENGTH - GRAM + 1) // 2
+BATCH = 1 << 22  # bytes of windows that are merged together
 SHARD = 1 << 18  # bytes of windows whose suffixes are sorted together
 STOP = 255  # ends a window; no byte of UTF-8 has this value
 
@@ -107,9 +110,8 @@ def _post(bits: int):
             k, r = k[keep], r[keep]
             bucket = (k >> _U(32)).astype(np.int64)
             rest = (k & _U(0xFFFFFFFF)).astype(np.uint32)
-            at = T.starts_of(bucket)
             out = []
-            for a, z in zip(at, [*at[1:], len(k)], strict=True):
+            for a, z in T.runs(bucket):
                 used, local = np.unique(r[a:z], return_inverse=True)
                 out.append((int(bucket[a]), np.array([len(used), z - a], np.int64).tobytes() + names[used].tobytes() + local.astype(np.uint32 if len(used) >> 16 else np.uint16).tobytes() + rest[a:z].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
@@ -158,8 +160,7 @@ def _shared(bits: int):
         rest, ids = rest[many], ids[many]
         order = np.argsort(ids, kind="stable")
         rest, ids = rest[order].astype(np.int64) | (bucket << 32), ids[order]
-        at = T.starts_of(ids)
-        return pa.table([pa.array(ids[at]), pa.array([rest[a:z].tobytes() for a, z in zip(at, [*at[1:], len(ids)], strict=True)], pa.binary())], names=["sig", "keys"])
+        return pa.table([pa.array(ids[T.starts_of(ids)]), pa.array([rest[a:z].tobytes() for a, z in T.runs(ids)], pa.binary())], names=["sig", "keys"])
 
     return run
 
@@ -167,7 +168,7 @@ def _shared(bits: int):
 _WINDOWS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def _windows(bits: int):
+def _windows(bits: int, buckets: int):
     """Windows of the shared grams, by bucket, equal ones of a batch stored once with their occurrences."""
 
     def run(batches):
@@ -177,14 +178,13 @@ def _windows(bits: int):
         held, weight = [], 0
 
         def flush():
-            doc, pos, key, off, size, hsh, raw = (np.concatenate([h[i] for h in held]) for i in range(7))
+            doc, pos, key, off, size, hsh, left, right, raw = (np.concatenate([h[i] for h in held]) for i in range(9))
             start = np.cumsum(size) - size
             order = np.lexsort((doc, hsh, key))
-            order = order[np.argsort(key[order] % _U(1 << bits), kind="stable")]  # keys are spread by their low bits
-            b = (key[order] % _U(1 << bits)).astype(np.int64)
-            same = T.starts_of(b)
+            order = order[np.argsort(key[order] % _U(buckets), kind="stable")]  # keys are spread by their low bits
+            b = (key[order] % _U(buckets)).astype(np.int64)
             out = []
-            for a, e in zip(same, [*same[1:], len(b)], strict=True):
+            for a, e in T.runs(b):
                 o = order[a:e]
                 first = np.ones(len(o), bool)
                 first[1:] = (hsh[o][1:] != hsh[o][:-1]) | (key[o][1:] != key[o][:-1])
@@ -192,13 +192,13 @@ def _windows(bits: int):
                 f = o[first]
                 body = b"".join(raw[s: s + n].tobytes() for s, n in zip(start[f].tolist(), size[f].tolist(), strict=True))
                 head = np.array([len(f), len(o)], np.int64).tobytes()
-                meta = key[f].tobytes() + hsh[f].tobytes() + size[f].astype(np.uint8).tobytes() + off[f].astype(np.uint8).tobytes()
+                meta = key[f].tobytes() + hsh[f].tobytes() + left[f].tobytes() + right[f].tobytes() + size[f].astype(np.uint8).tobytes() + off[f].astype(np.uint8).tobytes()
                 occ = kind.astype(np.uint32).tobytes() + doc[o].tobytes() + pos[o].astype(np.int64).tobytes()
                 out.append((int(b[a]), z.compress(head + meta + occ + body)))
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out[i: i + 64]], pa.int32()), pa.array([x[1] for x in out[i: i + 64]], pa.binary())], schema=_WINDOWS)
 
-        for b in T.slices(batches, most=2 << 20):
+        for b in T.slices(batches):
             buf, rows = T.texts(b.column(b.schema.get_field_index("text")))
             at, key = anchors(buf, rows, bits)
             row = np.searchsorted(rows, at, "right") - 1
@@ -216,9 +216,13 @@ def _windows(bits: int):
             hi = np.minimum(at + LENGTH, rows[row + 1])
             size = hi - lo
             spot = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            held.append((doc[row], lo - rows[row], key, at - lo, size, T.range_hash(T.prefix(buf), lo, hi), buf[spot]))
+            c = T.prefix(buf)
+            # a string of LENGTH bytes has SIDE bytes before its gram or as many after it
+            left = np.where(at - lo >= SIDE, T.range_hash(c, np.maximum(at - SIDE, 0), at + GRAM) >> _U(32), _U(0)).astype(np.uint32)
+            right = np.where(hi - at >= GRAM + SIDE, T.range_hash(c, at, np.minimum(at + GRAM + SIDE, len(buf))) >> _U(32), _U(0)).astype(np.uint32)
+            held.append((doc[row], lo - rows[row], key, at - lo, size, T.range_hash(c, lo, hi), left, right, buf[spot]))
             weight += len(spot) + 40 * len(at)
-            if weight > 24 << 20:
+            if weight > 12 << 20:
                 yield from flush()
                 held, weight = [], 0
         if held:
@@ -266,61 +270,95 @@ def _ranks(word: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_bwt(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes in order of ``depth`` symbols, and common prefixes.
-
-    ``shards`` are Burrows-Wheeler transforms.  The interleave names the shard of each merged suffix;
-    each pass reads the merged transform in the current order and places the shards stably by symbol.
-    The common prefix of a suffix and the one before it is the number of passes that left them in one
-    block (``depth`` if none parted them)."""
-    symbols = np.concatenate(shards)
-    n = len(symbols)
-    z = np.repeat(np.arange(len(shards)), [len(b) for b in shards]).astype(np.uint8 if len(shards) < 256 else np.uint16)
-    block = np.zeros(n, np.int32)
-    common = np.full(n, depth, np.int16)
-    common[0] = 0
-    for h in range(depth):
-        stream = np.empty(n, np.uint8)
-        stream[np.argsort(z, kind="stable")] = symbols
-        order = np.argsort(stream, kind="stable")
-        z, c, b = z[order], stream[order], block[order]
-        new = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new & (common[1:] == depth)) + 1
-        common[first] = h
-        block = np.concatenate([[0], np.cumsum(new)]).astype(np.int32)
-        if block[-1] == n - 1:
+def merge_bwt(rows: np.ndarray, shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, the interval of each at ``depth`` symbols, and the common prefixes of the merged order.
+
+    ``shards`` are suffix orders (positions in flattened rows).  They are interleaved by their first eight
+    symbols, and every pass then refines the interleave by one more: the suffixes of a block are told
+    apart by where the last pass put the suffix that follows each, so a pass is one step backwards through
+    the transforms.  Only suffixes before ones that moved can move, and in their blocks they come after
+    those that stay; settled intervals cost nothing.  A boundary's common prefix is the pass that made it."""
+    n, width = rows.shape
+    at = np.sort(np.concatenate(shards))
+    col = at % width
+    live = np.full(n * width, -1, np.int64)
+    live[at] = np.arange(len(at))
+    pad = np.concatenate([rows, np.full((n, 8), STOP, np.uint8)], axis=1)
+    word = np.zeros((n, width), np.uint64)
+    for j in range(8):
+        word = (word << _U(8)) | pad[:, j: j + width]
+    merged = live[np.concatenate(shards)]
+    keys = word.ravel()[at]
+    merged = merged[np.argsort(keys[merged], kind="stable")]  # a merge of sorted runs
+    k = keys[merged]
+    head = np.concatenate([[True], k[1:] != k[:-1]])
+    first = np.flatnonzero(head)
+    rank = np.empty(len(at), np.int64)
+    rank[merged] = first[np.cumsum(head) - 1]
+    size = np.zeros(len(at), np.int64)
+    size[first] = np.diff(np.append(first, len(at)))
+    common = np.full(len(at), depth, np.int16)
+    differ = (k[1:] ^ k[:-1])[head[1:]]
+    common[first[0]] = 0
+    common[first[1:]] = np.sum([(differ >> _U(64 - 8 * j)) == 0 for j in range(1, 8)], axis=0)
+    move = np.flatnonzero(rows.ravel()[at] != STOP)
+    for h in range(8, depth):
+        if not len(move):
             break
-    return z, common
+        old, after = rank[move], rank[move + 1]
+        order = np.argsort(old * len(at) + after)
+        move, old, after = move[order], old[order], after[order]
+        block = T.starts_of(old)
+        count = np.diff(np.append(block, len(old)))
+        stay = size[old[block]] - count
+        run = np.flatnonzero(np.concatenate([[True], (old[1:] != old[:-1]) | (after[1:] != after[:-1])]))
+        of = np.searchsorted(block, run, "right") - 1
+        place = old[run] + stay[of] + run - block[of]
+        length = np.diff(np.append(run, len(old)))
+        keep = stay > 0
+        size[old[block[keep]]] = stay[keep]
+        size[place] = length
+        new = np.repeat(place, length)
+        rank[move] = new
+        moved = move[new != old]
+        common[place[place != old[run]]] = h
+        move = moved[col[moved] > 0] - 1
+    return at, rank, common
 
 
 def repeats(rows: np.ndarray, low: np.ndarray, ok: np.ndarray, depth: int = LENGTH, shard: int = SHARD) -> np.ndarray:
     """For each window and start the smallest of ``low`` among windows with the same ``depth`` bytes from
     there, over the starts that ``ok`` allows (others: the largest integer)."""
     n, width = rows.shape
-    most = np.iinfo(np.int64).max
-    out = np.full((n, width), most)
+    out = np.full((n, width), np.iinfo(np.int64).max)
     per = max(1, shard // width)
-    parts, places, transforms = [], [], []
+    shards = []
     for a in range(0, n, per):
         order = np.argsort(np.ascontiguousarray(rows[a: a + per]).view(f"S{width}").ravel(), kind="stable")
-        at, bwt = shard_bwt(rows[a: a + per][order])
-        places.append((order[at // width] + a) * width + at % width)
-        transforms.append(bwt)
-    z, common = merge_bwt(transforms, depth)
-    parts = np.argsort(z, kind="stable")
-    place = np.empty(len(z), np.int64)
-    place[parts] = np.concatenate(places)
-    interval = np.cumsum(common < depth)
+        at, _ = shard_bwt(rows[a: a + per][order])
+        shards.append((order[at // width] + a) * width + at % width)
+    place, interval, _ = merge_bwt(rows, shards, depth)
     use = ok.ravel()[place]
     place, interval = place[use], interval[use]
+    order = np.argsort(interval, kind="stable")
+    place, interval = place[order], interval[order]
     if len(place):
-        value = low[place // width]
         at = T.starts_of(interval)
-        least = np.minimum.reduceat(value, at)
+        least = np.minimum.reduceat(low[place // width], at)
         out.ravel()[place] = np.repeat(least, np.diff(np.append(at, len(interval))))
     return out
 
 
+def _twice(key: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Where another entry has the same key and (non-zero) side hash."""
+    order = np.lexsort((side, key))
+    k, x = key[order], side[order]
+    same = (k[1:] == k[:-1]) & (x[1:] == x[:-1])
+    out = np.zeros(len(key), bool)
+    out[order] = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (x > 0)
+    return out
+
+
 def _bucket():
     """Byte ranges to remove, (doc_id, start, stop), from the windows of one bucket."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -330,18 +368,18 @@ def _bucket():
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        cols, base = [[] for _ in range(8)], 0
+        cols, base = [[] for _ in range(10)], 0
         for blob in table["blob"]:
             raw = z.decompress(blob.as_py())
             f, o = (int(v) for v in np.frombuffer(raw, np.int64, 2))
             at = 16
-            for k, (kind, n) in enumerate(((np.uint64, f), (np.uint64, f), (np.uint8, f), (np.uint8, f), (np.uint32, o), (np.int64, o), (np.int64, o))):
+            for k, (kind, n) in enumerate(((np.uint64, f), (np.uint64, f), (np.uint32, f), (np.uint32, f), (np.uint8, f), (np.uint8, f), (np.uint32, o), (np.int64, o), (np.int64, o))):
                 x = np.frombuffer(raw, kind, n, at)
-                cols[k].append(x.astype(np.int64) + base if k == 4 else x)
+                cols[k].append(x.astype(np.int64) + base if k == 6 else x)
                 at += x.nbytes
-            cols[7].append(np.frombuffer(raw, np.uint8, len(raw) - at, at))
+            cols[9].append(np.frombuffer(raw, np.uint8, len(raw) - at, at))
             base += f
-        key, hsh, size, off, kind, doc, pos, body = (np.concatenate(c) for c in cols)
+        key, hsh, left, right, size, off, kind, doc, pos, body = (np.concatenate(c) for c in cols)
         size = size.astype(np.int64)
         start = np.cumsum(size) - size
         order = np.lexsort((hsh, key))
@@ -351,20 +389,24 @@ def _bucket():
         merged[order] = np.cumsum(new) - 1
         kind = merged[kind]
         rep = order[new]
-        key, size, off, start = key[rep], size[rep], off[rep].astype(np.int64), start[rep]
+        key, size, off, start, left, right = key[rep], size[rep], off[rep].astype(np.int64), start[rep], left[rep], right[rep]
         low = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(low, kind, doc)
         starts = np.arange(width)
         ok = (starts <= off[:, None]) & (starts + LENGTH >= off[:, None] + GRAM) & (starts + LENGTH <= size[:, None])
         least = np.where(ok, low[:, None], np.iinfo(np.int64).max)
-        at = T.starts_of(key)
-        count = np.diff(np.append(at, len(key)))
-        many = np.flatnonzero(np.repeat(count, count) > 1)  # a gram with one window has nothing to compare
-        if len(many):
-            rows = np.full((len(many), width), STOP, np.uint8)
-            inside = starts < size[many][:, None]
-            rows[inside] = body[(start[many][:, None] + starts)[inside]]
-            least[many] = repeats(rows, low[many], ok[many])
+        # only windows that agree with another of their gram on one side can share a string with it
+        many = np.flatnonzero(_twice(key, left) | _twice(key, right))
+        at = np.append(T.starts_of(key[many]), len(many))
+        a = 0
+        while a < len(at) - 1:  # grams are independent: whole groups of about a batch's size at a time
+            e = max(a + 1, int(np.searchsorted(at, at[a] + BATCH // width, "right")) - 1)
+            own = many[at[a]: at[e]]
+            rows = np.full((len(own), width), STOP, np.uint8)
+            inside = starts < size[own][:, None]
+            rows[inside] = body[(start[own][:, None] + starts)[inside]]
+            least[own] = repeats(rows, low[own], ok[own])
+            a = e
         out = []
         for a in range(0, len(kind), 1 << 16):
             k, d = kind[a: a + (1 << 16)], doc[a: a + (1 << 16)]
@@ -410,7 +452,7 @@ def repeated_ranges(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame
     lists = shared.join(first, "sig").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("keys").alias("keys"))
     lists = stage.put(lists, "lists")
     some = _near(docs, lists)
-    windows = some.join(lists, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_windows(bits), "bucket int, blob binary")
+    windows = some.join(lists, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_windows(bits, 4 << bits), "bucket int, blob binary")
     found = windows.groupBy("bucket").applyInArrow(_bucket(), "doc_id long, start long, stop long")
     ranges = stage.put(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
     return meta, ranges
