@@ -63,8 +63,7 @@ def _pack(keys: list[np.ndarray], refs: list[np.ndarray], ids: list[np.ndarray],
     bucket = (k >> _U(KEY_BITS - bits)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, rest, r = bucket[order], (k[order] & _U((1 << (KEY_BITS - bits)) - 1)).astype(np.uint32), r[order]
-    at = T.starts_of(bucket)
-    for a, z in zip(at, [*at[1:], len(bucket)], strict=True):
+    for a, z in T.runs(bucket):
         used, local = np.unique(r[a:z], return_inverse=True)
         yield int(bucket[a]), np.array([len(used), z - a], np.int64).tobytes() + ids[used].tobytes() + local.astype(np.uint32 if len(used) >> 16 else np.uint16).tobytes() + rest[a:z].tobytes()
 
@@ -105,7 +104,7 @@ def _scan(words: int, bits: int, share: float, tokens: bool):
             sums = np.zeros(len(g) + 1, np.uint64)
             np.cumsum(T.mix(g ^ _U(0x5851F42D4C957F2D)), out=sums[1:])
             sig = T.mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64)).astype(np.int64)
-            own = b.column(b.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            own = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
             pick = g <= limit
             cols = {"kind": np.zeros(len(n), np.int32), "id": own, "n": n.astype(np.int32), "sig": sig, "seen": np.bincount(row[pick], minlength=len(n)).astype(np.int32)}
             if tokens:
@@ -114,9 +113,9 @@ def _scan(words: int, bits: int, share: float, tokens: bool):
             yield _rows(_SCAN_ARROW, len(n), **cols)
             keys.append(g[pick] >> _U(64 - KEY_BITS))
             refs.append(row[pick] + docs)
-            ids.append(own.astype(np.int64) if tokens else sig)
+            ids.append(own.to_numpy() if tokens else sig)  # with tokens, rows are those of known ids
             held, docs = held + int(pick.sum()), docs + len(n)
-            if held > 1_500_000:
+            if held > 750_000:
                 yield from flush()
                 keys, refs, ids, held, docs = [], [], [], 0, 0
         yield from flush()
@@ -171,8 +170,7 @@ def _signatures(heavy: np.ndarray, num: int, den: int):
                 take, cell = often[:m], cell[:m]
                 order = np.argsort(cell, kind="stable")
                 cell, take = cell[order], take[order]
-                at = T.starts_of(cell)
-                for a, z in zip(at, np.append(at[1:], len(cell)), strict=True):
+                for a, z in T.runs(cell):
                     if z - a > 1:
                         x, y = np.triu_indices(z - a, 1)
                         out.append(T.mix(take[a + x] * _U(3) + T.mix(take[a + y]) + _U(b + 1)))

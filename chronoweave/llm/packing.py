@@ -250,8 +250,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
             cols = [b.column(c).to_numpy(zero_copy_only=False).copy() for c in names[:5]] + [rank.copy(), np.zeros(len(rank), np.int64)]
             whole, more = np.ones(len(rank), bool), []
             order = np.argsort(size, kind="stable")
-            at = T.starts_of(size[order])
-            for lo, hi in zip(at, [*at[1:], len(order)], strict=True):
+            for lo, hi in T.runs(size[order]):
                 s, rows = int(size[order[lo]]), order[lo:hi]
                 if s == capacity:
                     continue
