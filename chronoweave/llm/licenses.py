@@ -93,11 +93,11 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     own = own.select("k", "p", "b.license", "b.score", F.when(F.col("named") | (F.col("licensed") >= OWN_SHARE * F.col("words")), "file").otherwise("header").alias("origin"))
     own = st.put(own, "own")
 
-    above = F.regexp_replace("p", "/?[^/]*$", "")
-    here = own.where("origin = 'file'").withColumn("at", above).groupBy("at").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "license")).alias("d"))
+    above = F.when(F.col("p") != "", F.regexp_replace("p", "/?[^/]*$", ""))
+    here = own.where("origin = 'file' AND p <> ''").withColumn("at", above).groupBy("at").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "license")).alias("d"))
     here = st.put(here, "here")
     steps = F.split("dir", "/")
-    dirs = src.select(above.alias("dir")).distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("at")).distinct()
+    dirs = src.where("p <> ''").select(above.alias("dir")).distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("at")).distinct()
     near = join_checked(dirs, here, "at", "inner", 128).groupBy("dir").agg(F.max_by(F.struct("at", "d.license", "d.score"), F.length("at")).alias("i"))
     near = st.put(near, "near")
 
