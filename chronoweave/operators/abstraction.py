@@ -92,6 +92,15 @@ def any_sum(anchors: DataFrame, rows: DataFrame, period: tuple[int, str], concep
     return near.select("patient_id", F.lit(concept).alias("concept"), F.col("anchor_start").alias("start_ts"), F.col("anchor_end").alias("end_ts"), F.col("value_num").cast("string").alias("value"), "value_num")
 
 
+def event_attributes(events: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Events with a map from concept to value of the attribute rows of the same patient and start; of
+    several values of a concept the largest counts, and events without attributes get an empty map."""
+    one = attributes.groupBy("patient_id", "start_ts", F.col("concept").alias("_c")).agg(F.max("value").alias("_v"))
+    own = one.groupBy("patient_id", "start_ts").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_c", "_v")))).alias("attributes"))
+    out = events.join(own, ["patient_id", "start_ts"], "left").withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
+    return out.select(*COLUMNS, "attributes")
+
+
 def constrained(df: DataFrame, constraints: list[tuple[str, str]]) -> DataFrame:
     """Rows that meet all (operator, value) constraints; several equal ones are alternatives."""
     equal = [v for op, v in constraints if op == "equal"]

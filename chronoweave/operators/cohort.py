@@ -90,6 +90,11 @@ def control_sample(pool: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
     return ranked.join(F.broadcast(sizes), F.col("before") + F.col("r") <= F.col("n")).select(*keys, "patient_id")  # sizes: one row a window
 
 
+def random_sample(pool: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n ids in random order, another draw each time unless seeded."""
+    return pool.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(n)
+
+
 def control_sample_seeded(pool: DataFrame, n: int, seed: int) -> list[str]:
     """The sample that a seeded standard-library generator draws from the ids in (length, text) order;
     it gathers the pool on the driver, so it serves comparisons on small data only."""

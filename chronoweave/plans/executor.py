@@ -7,6 +7,7 @@ the next reads it, so plans stay small however deep the rules go.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
@@ -174,14 +175,18 @@ def _persisted(made: DataFrame, concepts: list[Concept]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def evaluate(catalog: Catalog, events: DataFrame, as_of: datetime | None = None, stage: bool = True) -> DataFrame:
+def evaluate(catalog: Catalog, events: DataFrame, as_of: datetime | None = None, stage: bool = True, external: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """All intervals that the catalog derives from events; ``concept`` holds the concept's id.
 
     Trends are computed on samples, states and contexts on persisted intervals.  ``as_of`` stands for the
-    current time, so results do not depend on when they are computed."""
+    current time, so results do not depend on when they are computed.  ``external`` replaces the rule of a
+    concept by a function of the intervals known so far (vectorised UDFs have their place there)."""
+    external = external or {}
     known = samples = None
-    for concepts in catalog.levels:
+    for every in catalog.levels:
+        concepts = [c for c in every if c.id not in external]
         made = [
+            *[external[c.id](events if known is None else known).select(*I.COLUMNS) for c in every if c.id in external],
             _raw([c for c in concepts if c.kind in ("numeric-raw-concept", "nominal-raw-concept", "event")], events),
             *([] if known is None else [
                 _states([c for c in concepts if c.kind == "state" and len({s for _, _, t in c.cases for s in t.sources()}) == 1], known),
@@ -195,7 +200,7 @@ def evaluate(catalog: Catalog, events: DataFrame, as_of: datetime | None = None,
         if not made:
             continue
         rows = reduce(DataFrame.unionByName, made)
-        kept = _persisted(rows, concepts)
+        kept = _persisted(rows, every)
         if stage:
             kept = staged(kept, "level")
         samples = rows if samples is None else samples.unionByName(rows)

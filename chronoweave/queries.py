@@ -300,6 +300,14 @@ def pattern_trapezoid(spark, d):
     return b(spark, d).select("patient_id", "concept", _text("start_ts"), F.round(trapezoid(F.col("value_num"), 10, 50, 100, 300), 6).alias("member"))
 
 
+@query(f"WITH {_B}, D AS (SELECT DISTINCT patient_id, date_trunc('day', start_ts) start_ts FROM B WHERE concept = 'purchase'), T AS (SELECT patient_id, date_trunc('day', start_ts) start_ts, concept, CAST(max(value_num >= 100) AS INT) v FROM B WHERE concept IN ('view', 'click') GROUP BY ALL) SELECT D.patient_id, strftime(D.start_ts, '%Y-%m-%d %H:%M:%S') start_ts, string_agg(T.concept || '=' || v, ',' ORDER BY T.concept) attributes FROM D LEFT JOIN T USING (patient_id, start_ts) GROUP BY D.patient_id, D.start_ts")
+def event_attributes(spark, d):
+    rows = b(spark, d).withColumn("start_ts", F.date_trunc("day", "start_ts").cast("timestamp_ntz")).withColumn("value", (F.col("value_num") >= 100).cast("int").cast("string"))
+    made = A.event_attributes(rows.where("concept = 'purchase'").dropDuplicates(["patient_id", "start_ts"]), rows.where("concept IN ('view', 'click')"))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return made.select("patient_id", _text("start_ts"), F.nullif(text, F.lit("")).alias("attributes"))
+
+
 def _rule(kind: str, id_: int, name: str, body: str, extra: str = "") -> str:
     return f'<{kind} id="{id_}" name="{name}" {extra}><temporal-semantic concatenable="false"/>{body}</{kind}>'
 

@@ -271,3 +271,12 @@ def test_command_line(spark, tmp_path):
 def test_duration_rejects_unknown_units():
     with pytest.raises(ValueError):
         duration(1, "fortnight")
+
+
+def test_external_rules_and_random_sample(spark):
+    cat = Catalog([parse(RAW), parse('<pattern id="50" name="ext"><temporal-semantic/><derived-from><derived-from-id>22</derived-from-id></derived-from><pattern-definition><components/></pattern-definition></pattern>')])
+    double = lambda known: known.where("concept = '22'").withColumn("concept", F.lit("50")).withColumn("value_num", F.col("value_num") * 2)
+    made = evaluate(cat, rows(spark, [("p", "sugar", 0, 0, 4)]), external={"50": double})
+    assert made.where("concept = '50'").first()["value_num"] == 8
+    pool = spark.range(50).select(F.col("id").cast("string").alias("patient_id"))
+    assert C.random_sample(pool, 7).count() == 7 and C.random_sample(pool, 7, 3).count() == 7
