@@ -1,6 +1,7 @@
 """Boilerplate lines found with a fixed-depth log-template tree and dropped.
 
-A line's leaf is its token count and its first DEPTH tokens, fields with digits read as variable.  Within
+A line's leaf is its token count and its first DEPTH tokens, fields with digits read as variable (with
+fewer tokens, leaves fill with unrelated lines as the corpus grows).  Within
 a leaf a token stays constant at its position if MIN_DOCS documents have it there; all else is a variable
 field.  Lines that keep at least CONSTANT of their tokens share a template if their constants agree.  A
 template recurs if MIN_DOCS documents have it amid different neighbours: copies of one document repeat
@@ -21,7 +22,7 @@ from . import _text as T
 from ._store import Stage, join_checked, plain_docs, small
 
 _U = np.uint64
-DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT, CONTEXTS = 2, 4, 5, 0.6, 0.5
+DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT, CONTEXTS = 4, 4, 5, 0.6, 0.5
 LEAVES_MOST = 1 << 20  # leaves that travel with the second scan (8 MB); beyond it they are joined
 _DIGIT = np.array([48 <= c < 58 for c in range(256)])
 _WILD = _U(0x57494C44)
@@ -97,6 +98,7 @@ def recurring_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     spread = lines.select("doc_id", "line", "leaf", "context", F.size("toks").alias("n"), F.posexplode("toks").alias("pos", "tok"))
     constant = spread.select("leaf", "pos", "tok", "doc_id").distinct().groupBy("leaf", "pos", "tok").count().where(F.col("count") >= MIN_DOCS).select("leaf", "pos", "tok")
     constant = stage.put(constant, "constant")
+    constant = constant.where(F.col("tok") != int(_WILD))  # a masked field is no constant
     kept = join_checked(spread, constant, ["leaf", "pos", "tok"], "inner", 32)
     shape = kept.groupBy("doc_id", "line", "leaf", "context", "n").agg(F.bit_xor(F.xxhash64("pos", "tok")).alias("mask"), F.count("*").alias("held"))
     shape = shape.where(F.col("held") >= CONSTANT * F.col("n")).select("doc_id", "line", "context", F.xxhash64("leaf", "mask").alias("template"))
@@ -118,10 +120,13 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     """
     stage = Stage(docs.sparkSession, "lines")
     drop = recurring_lines(plain_docs(docs).where("doc_id IS NOT NULL"), stage)
-    drop = drop.withColumnRenamed("lines", "_drop")
+    mark = "_drop"
+    while mark in docs.columns:
+        mark += "_"
+    drop = drop.withColumnRenamed("lines", mark)
     parts = F.split("text", "\n")
-    left = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(_drop, i)), '\\n')")
+    left = F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(`{mark}`, i)), '\\n')")
     out = join_checked(docs, drop, "doc_id", "left", 48)
     out = out.withColumn("n_lines", F.when(F.length("text") > 0, F.size(parts)).otherwise(0).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"))
-    return out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left)).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    out = out.withColumn("n_dropped", F.when(F.col(mark).isNull(), 0).otherwise(F.size(mark)).cast("long"))
+    return out.withColumn("text", F.when(F.col(mark).isNull(), F.col("text")).otherwise(left)).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
