@@ -81,5 +81,62 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_packing, op4_topk, op5_warc, op6_line_dedup, op7_pii, op8_toxicity, op9_jaccard_join, op10_decontamination)}
 
 
+#: Quantised vectors, all scores of the query rows, the ten best of each.
+_TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(r AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) r FROM s) WHERE r <= 10"""
+#: SHA-1 in base 32, five bits of the hexadecimal digest at a time; the largest page_id of equal payloads.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
+b AS (SELECT page_id, h, array_to_string(list_transform(string_split(sha1(h), ''), lambda d: lpad(bin(instr('0123456789abcdef', d) - 1), 4, '0')), '') bits FROM p),
+d AS (SELECT page_id, h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, CAST(5 * i + k + 1 AS INT), 1) AS INT) * (16 >> CAST(k AS INT)))) AS INT), 1)), '') x FROM b),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) last FROM d)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) payload_bytes, x payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END record_type, CASE WHEN page_id < last THEN last END refers_to
+FROM m"""
+#: Every 50-byte string and the smallest document that has it; runs of removed bytes; what lies between.
+_SUFFIX = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) n FROM documents),
+p AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 100)) h FROM d, LATERAL (SELECT unnest(range(0, n - 49)) i)),
+m AS (SELECT h, min(doc_id) m FROM p GROUP BY h),
+r AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) gap FROM p JOIN m USING (h) WHERE m < doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) k FROM r),
+s AS (SELECT doc_id, min(i) a, max(i) + 50 z FROM g GROUP BY doc_id, k),
+t AS (SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) nx FROM s),
+f AS (SELECT doc_id, sum(z - a) removed, count(*) spans, min(a) first FROM s GROUP BY doc_id),
+k AS (SELECT t.doc_id, string_agg(substr(x, 2 * z + 1, 2 * (coalesce(nx, n) - z)), '' ORDER BY a) tail FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
+SELECT d.doc_id, n n_bytes, CAST(coalesce(removed, 0) AS BIGINT) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(CASE WHEN first IS NULL THEN x ELSE substr(x, 1, 2 * first) || tail END)) kept_sha256
+FROM d LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)"""
+#: Lines, leaves, constants, templates and their contexts, as in the operator; "0" stands for masked fields.
+_LINES = """
+WITH x AS (SELECT doc_id, unnest(l) l, generate_subscripts(l, 1) - 1 i, len(l) - 1 last FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents WHERE length(text) > 0)),
+w AS (SELECT doc_id, i, list_transform(list_filter(regexp_split_to_array(l, '[\\x09-\\x0D ]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '0' ELSE t END) w FROM x WHERE NOT (l = '' AND i = last)),
+f AS (SELECT *, len(w) n, len(w) || ' ' || array_to_string(w[1:4], ' ') leaf FROM w),
+c AS (SELECT *, coalesce(lag(leaf) OVER (PARTITION BY doc_id ORDER BY i), '') || '|' || coalesce(lead(leaf) OVER (PARTITION BY doc_id ORDER BY i), '') ctx FROM f),
+h AS (SELECT leaf FROM c WHERE n >= 4 GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
+t AS (SELECT doc_id, i, leaf, ctx, n, pos, w[pos] tok FROM (SELECT *, unnest(range(1, n + 1)) pos FROM c JOIN h USING (leaf) WHERE n >= 4)),
+k AS (SELECT leaf, pos, tok FROM t WHERE tok <> '0' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+s AS (SELECT doc_id, i, ctx, leaf || '|' || string_agg(pos || ' ' || tok, ' ' ORDER BY pos) tpl FROM t JOIN k USING (leaf, pos, tok) GROUP BY doc_id, i, leaf, ctx, n HAVING count(*) >= 0.6 * n),
+a AS (SELECT tpl FROM s GROUP BY tpl HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT ctx) >= 5 AND count(DISTINCT ctx) >= 0.5 * count(DISTINCT doc_id)),
+g AS (SELECT DISTINCT doc_id, i FROM s JOIN a USING (tpl)),
+r AS (SELECT x.doc_id, count(*) n_lines, count(g.i) n_dropped, string_agg(l, chr(10) ORDER BY x.i) FILTER (g.i IS NULL) kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, sha256(coalesce(kept, '')) kept_sha256 FROM documents d LEFT JOIN r USING (doc_id)"""
+#: Whole shingle sets, every pair that shares one, and reachability.
+_JACCARD = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D ]+'), lambda x: x <> '') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') g FROM w, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 4) + 1)) i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) n_shingles, min(r.c) component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express a query over whole tables in reasonable time."""
+    return {"op2_suffix_dedup": _SUFFIX, "op4_topk": _TOPK, "op5_warc": _WARC, "op6_line_dedup": _LINES, "op9_jaccard_join": _JACCARD}
