@@ -239,7 +239,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     meta = scan.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "seen")
     blobs = scan.where("kind = 1").select("bucket", "blob")
     shared = blobs.groupBy("bucket").applyInArrow(_count(bits, 0), _COUNT).groupBy(F.col("key").alias("sig")).agg(F.sum("val").alias("shared"))
-    classes = meta.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("seen").alias("seen"))
+    classes = st.put(meta.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("seen").alias("seen"), F.count("*").alias("rows")), "classes")  # apart from the count, a large class can be split in joins
     may = classes.join(shared, "sig", "left").where(F.lit(den) * (F.col("n") - F.col("seen") + F.coalesce("shared", F.lit(0))) >= F.lit(num) * F.col("n"))
     may = st.put(may.where("n > 1").select(F.col("id").alias("doc_id")), "may")
     full = st.put(restrict(src, may, "doc_id", 16).dropDuplicates(["doc_id"]).mapInArrow(_scan(words, bits, 1.0, True), _SCAN), "full", "kind")
@@ -250,7 +250,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         if held + c > HEAVY_MOST:
             break
         level, held = p, held + c
-    heavy = np.sort(np.array([r[0] for r in counts.where((F.col("kind") == 1) & (F.col("val") >= F.lit(2**level).cast("long"))).select("key").collect()], np.int64)).astype(np.uint64)  # HEAVY_MOST at most
+    heavy = counts.where((F.col("kind") == 1) & (F.col("val") >= F.lit(2**level).cast("long"))).select("key")  # HEAVY_MOST at most
+    heavy = np.sort(heavy.toArrow()["key"].to_numpy()).astype(np.uint64)
     both = counts.where("kind = 0").groupBy(F.col("key").alias("id")).agg(F.sum("val").cast("int").alias("shared"))
     sets = full.where("kind = 0").select("id", "n", "toks").join(both, "id").where(F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n"))
     sets = st.put(sets, "sets")
@@ -281,7 +282,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         comp = components(links, st, f"cc{k}")
     st.drop("sig", "sets")
     out = meta.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig")
-    own = classes.select("sig", "id")
+    own = classes.select("sig", "id", "rows")
     if comp is not None:
-        own = own.join(comp, own.id == comp.node, "left").select("sig", F.coalesce("component", "id").alias("id"))
-    return out.join(own, "sig", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
+        own = own.join(comp, own.id == comp.node, "left").select("sig", F.coalesce("component", "id").alias("id"), F.when(F.col("component") < F.col("id"), 2).otherwise(F.col("rows")).alias("rows"))
+    own = st.put(own.where("rows > 1").select("sig", "id"), "own")  # other documents are their own component
+    return join_checked(out, own, "sig", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
