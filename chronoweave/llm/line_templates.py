@@ -92,7 +92,7 @@ def recurring_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     leaves = docs.mapInArrow(_leaves, "leaf long, doc_id long").distinct().groupBy("leaf").count().where(F.col("count") >= MIN_DOCS).select("leaf")
     leaves = stage.put(leaves, "leaves")
     few = small(leaves, 8, 8 * LEAVES_MOST)
-    known = np.sort(np.array([r[0] for r in leaves.collect()], np.int64)) if few else None  # LEAVES_MOST at most
+    known = np.sort(leaves.toArrow()["leaf"].to_numpy()) if few else None  # LEAVES_MOST at most
     lines = docs.mapInArrow(_tokens(known), "doc_id long, line int, leaf long, context long, toks array<long>")
     lines = stage.put(lines if few else lines.join(leaves, "leaf", "left_semi"), "lines")
     spread = lines.select("doc_id", "line", "leaf", "context", F.size("toks").alias("n"), F.posexplode("toks").alias("pos", "tok"))
