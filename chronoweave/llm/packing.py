@@ -100,6 +100,8 @@ def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[f
     each other are taken or not, one vector step over all capacities each."""
     best, steps = np.zeros(capacity + 1), []
     for k in np.flatnonzero(worth > np.maximum.accumulate(np.concatenate([[0.0], worth[:-1]])) + 1e-12):
+        if worth[k] <= best[sizes[k]] + 1e-12:  # smaller ones together are worth as much
+            continue
         n = 1
         while n * sizes[k] <= capacity:
             s = n * int(sizes[k])
@@ -150,18 +152,23 @@ def patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.n
 def _fit_rest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[list[int]]:
     """Best fit by falling size of what rounding left; sequences as lists of size indices."""
     bins, room = [], [[] for _ in range(capacity + 1)]
+    some = 0  # bit r: a sequence has r free
     for k in np.argsort(-sizes, kind="stable"):
-        s, n = int(sizes[k]), int(left[k])
-        while n:
-            free = next((r for r in range(s, capacity) if room[r]), None)
-            if free is None:
+        s = int(sizes[k])
+        for _ in range(int(left[k])):
+            fits = some >> s
+            if fits:
+                free = s + (fits & -fits).bit_length() - 1
+                b = room[free].pop()
+                if not room[free]:
+                    some &= ~(1 << free)
+            else:
                 bins.append([])
                 b, free = len(bins) - 1, capacity
-            else:
-                b = room[free].pop()
             bins[b].append(int(k))
-            room[free - s].append(b)
-            n -= 1
+            if free > s:
+                room[free - s].append(b)
+                some |= 1 << (free - s)
     return bins
 
 
