@@ -200,6 +200,8 @@ def evaluate(catalog: Catalog, events: DataFrame, as_of: datetime | None = None,
         if not made:
             continue
         rows = reduce(DataFrame.unionByName, made)
+        if stage:  # read once for each kind of persistence, and again by trends
+            rows = staged(rows, "made")
         kept = _persisted(rows, every)
         if stage:
             kept = staged(kept, "level")
