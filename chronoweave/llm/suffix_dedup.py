@@ -461,7 +461,7 @@ def repeated_ranges(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame
 def _near(docs: DataFrame, some: DataFrame) -> DataFrame:
     """Rows of ``docs`` that ``some`` names, where its ids are few enough to broadcast; else all."""
     ids = some.select("doc_id")
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if small(ids, 16) else docs
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if small(ids, 64) else docs
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -478,9 +478,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     meta, ranges = repeated_ranges(src.where("doc_id IS NOT NULL"), stage)
     cut = _near(src, ranges).join(ranges, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_apply, "doc_id long, n_removed long, n_spans long, kept binary")
     cut = stage.put(cut.withColumn("kept_sha256", F.sha2("kept", 256)), "cut")
-    first = meta.groupBy("sig").agg(F.min("doc_id").alias("first"))
-    out = meta.join(first, "sig").join(cut, "doc_id", "left")
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
+    again = meta.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sig", "first")
+    again = stage.put(again, "again")  # apart from the count, a large class can be split in the join
+    out = join_checked(join_checked(meta, again, "sig", "left"), cut, "doc_id", "left", 256)
+    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     out = out.select(
         "doc_id", "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
