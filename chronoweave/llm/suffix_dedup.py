@@ -12,6 +12,8 @@
    pass at which neighbours part is their common prefix; blocks that 50 passes leave whole are the
    repeated intervals.  Suffixes are never sorted again across shards.  Windows that differ from all
    others of their gram on both sides of it hold no repeat and take no part.
+   A gram of more than HOT_TEXTS texts would make one task too large: its strings are told apart by
+   128-bit hashes instead, whose smallest doc_id is found by partial sums and a join that can be split.
 4. A start position of a text is a repeat if its interval holds a smaller doc_id; the 50 bytes from
    there go.
 """
@@ -34,6 +36,8 @@ SPAN = LENGTH - GRAM + 1  # grams of one string
 SIDE = (LENGTH - GRAM + 1) // 2
 BATCH = 1 << 22  # bytes of windows that are merged together
 SHARD = 1 << 18  # bytes of windows whose suffixes are sorted together
+HOT_TEXTS = 1 << 16  # texts of one gram that a task takes
+_HOT = 1 << 62  # marks such a gram's key
 STOP = 255  # ends a window; no byte of UTF-8 has this value
 
 
@@ -159,8 +163,42 @@ def _shared(bits: int):
         many = np.repeat(size, size) > 1
         rest, ids = rest[many], ids[many]
         order = np.argsort(ids, kind="stable")
-        rest, ids = rest[order].astype(np.int64) | (bucket << 32), ids[order]
-        return pa.table([pa.array(ids[T.starts_of(ids)]), pa.array([rest[a:z].tobytes() for a, z in T.runs(ids)], pa.binary())], names=["sig", "keys"])
+        large = np.repeat(size, size)[many][order] > HOT_TEXTS
+        rest, ids = rest[order].astype(np.int64) | (bucket << 32) | np.where(large, _HOT, 0), ids[order]
+        return pa.table([pa.array(ids[T.starts_of(ids)]), pa.array([rest[a:z].tobytes() for a, z in T.runs(ids)], pa.binary()), pa.array([bool(large[a:z].any()) for a, z in T.runs(ids)], pa.bool_())], names=["sig", "keys", "hot"])
+
+    return run
+
+
+def _pick(b: pa.RecordBatch, bits: int, hot: bool) -> tuple[np.ndarray, ...]:
+    """The bytes and row offsets of a batch; positions, keys and rows of its grams that its lists name."""
+    buf, rows = T.texts(b.column(b.schema.get_field_index("text")))
+    at, key = anchors(buf, rows, bits)
+    row = np.searchsorted(rows, at, "right") - 1
+    keep = np.zeros(len(at), bool)
+    edge = np.searchsorted(row, np.arange(b.num_rows + 1))
+    for i, x in enumerate(b.column(b.schema.get_field_index("keys"))):
+        mine = np.frombuffer(b"".join(x.as_py()), np.int64)
+        mine = mine[(mine & _HOT > 0) == hot] & (_HOT - 1)
+        keep[edge[i]: edge[i + 1]] = np.isin(key[edge[i]: edge[i + 1]], mine.astype(np.uint64))
+    return buf, rows, at[keep], key[keep], row[keep]
+
+
+def _hot_strings(bits: int):
+    """Two hashes, document and place of every string that picks a gram of too many texts."""
+
+    def run(batches):
+        for b in T.slices(batches, most=1 << 18):
+            buf, rows, at, _, row = _pick(b, bits, True)
+            start = np.unique((at[:, None] - np.arange(SPAN)).ravel())
+            start = start[start >= 0]
+            row = np.searchsorted(rows, start, "right") - 1
+            ok = start + LENGTH <= rows[row + 1]
+            start, row = start[ok], row[ok]
+            doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row]
+            one = T.range_hash(T.prefix(buf), start, start + LENGTH)
+            two = T.range_hash(T.prefix(buf[::-1]), len(buf) - start - LENGTH, len(buf) - start)  # read backwards
+            yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), pa.array(doc), pa.array(start - rows[row])], names=["h1", "h2", "doc_id", "start"])
 
     return run
 
@@ -199,17 +237,8 @@ def _windows(bits: int, buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out[i: i + 64]], pa.int32()), pa.array([x[1] for x in out[i: i + 64]], pa.binary())], schema=_WINDOWS)
 
         for b in T.slices(batches):
-            buf, rows = T.texts(b.column(b.schema.get_field_index("text")))
-            at, key = anchors(buf, rows, bits)
-            row = np.searchsorted(rows, at, "right") - 1
+            buf, rows, at, key, row = _pick(b, bits, False)
             doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()
-            lists = b.column(b.schema.get_field_index("keys"))
-            keep = np.zeros(len(at), bool)
-            edge = np.searchsorted(row, np.arange(b.num_rows + 1))
-            for i, x in enumerate(lists):
-                mine = np.frombuffer(b"".join(x.as_py()), np.int64).astype(np.uint64)
-                keep[edge[i]: edge[i + 1]] = np.isin(key[edge[i]: edge[i + 1]], mine)
-            at, key, row = at[keep], key[keep], row[keep]
             if not len(at):
                 continue
             lo = np.maximum(at - (LENGTH - GRAM), rows[row])
@@ -448,12 +477,18 @@ def repeated_ranges(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame
     meta = stage.put(docs.mapInArrow(_scan_meta, "doc_id long, n_bytes long, sha string, sig long"), "meta")
     first = meta.groupBy("sig").agg(F.min("doc_id").alias("first"))
     grams = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_post(bits), "bucket int, blob binary")
-    shared = grams.groupBy("bucket").applyInArrow(_shared(bits), "sig long, keys binary")
-    lists = shared.join(first, "sig").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("keys").alias("keys"))
+    shared = grams.groupBy("bucket").applyInArrow(_shared(bits), "sig long, keys binary, hot boolean")
+    lists = shared.join(first, "sig").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
     lists = stage.put(lists, "lists")
     some = _near(docs, lists)
     windows = some.join(lists, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_windows(bits, 4 << bits), "bucket int, blob binary")
     found = windows.groupBy("bucket").applyInArrow(_bucket(), "doc_id long, start long, stop long")
+    if not (hot := lists.where("hot")).isEmpty():
+        named = docs.join(hot, "doc_id").dropDuplicates(["doc_id"])
+        strings = stage.put(named.mapInArrow(_hot_strings(bits), "h1 long, h2 long, doc_id long, start long"), "strings")
+        least = stage.put(strings.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "least")
+        again = strings.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
+        found = found.unionByName(again)
     ranges = stage.put(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
     return meta, ranges
 

@@ -101,3 +101,10 @@ def test_merge_orders_and_prefixes():
         for i in range(1, len(want)):
             lcp = next((j for j in range(20) if want[i][j] != want[i - 1][j]), 20)
             assert common[i] == lcp or (common[i] == 20 and lcp == 20)
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_grams_of_many_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(S, "HOT_TEXTS", limit)
+    pairs = corpus(5)
+    assert result(S.suffix_dedup(docs(spark, pairs))) == brute(pairs)
