@@ -72,11 +72,12 @@ class Config:
 
     @staticmethod
     def from_file(path: str | os.PathLike) -> Config:
-        """Keys window{K,Y,STEP,START_YEAR,END_DATE}, cohort, karmalego, project and data; all optional.
+        """Keys window{K,Y,STEP,START_YEAR,END_DATE}, cohort, project, data and a section with MVS; all optional.
 
         A maxGap of 0 means no limit; of END_DATE only the year counts."""
         raw = read_jsonc(path)
-        w, c, m = (public(raw.get(k, {})) for k in ("window", "cohort", "karmalego"))
+        w, c = (public(raw.get(k, {})) for k in ("window", "cohort"))
+        m = next((public(v) for v in raw.values() if isinstance(v, dict) and "MVS" in v), {})
         concepts = str(m.get("concepts", "*"))
         return Config(
             Windowing(w.get("K", 2), w.get("Y"), w.get("STEP", 1), w.get("START_YEAR", 2010), int(str(w.get("END_DATE", "2024"))[:4])),
