@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import Stage, join_checked, partitions, plain_docs, restrict, small
+from ._store import Stage, join_checked, partitions, plain_docs, restrict
 from .components import components
 
 _U = np.uint64
