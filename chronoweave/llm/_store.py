@@ -61,8 +61,8 @@ def small(df: DataFrame, width: int, bound: int = BROADCAST_BYTES) -> bool:
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", width: int = 24) -> DataFrame:
     """``left`` joined with ``right``, which is broadcast only if its checked size allows; else both shuffle.
-    A row of ``width`` bytes takes about four times as much in the hash table that is sent."""
-    return left.join(F.broadcast(right) if small(right, 4 * width) else right, on, how)
+    In the hash table that is sent a row takes about four times its width, so tables stay below 64 MB."""
+    return left.join(F.broadcast(right) if small(right, width) else right, on, how)
 
 
 def restrict(docs: DataFrame, ids: DataFrame, key: str, width: int = 24) -> DataFrame:
