@@ -3,12 +3,15 @@
 A line's leaf is its token count and its first DEPTH tokens, fields with digits read as variable (with
 fewer tokens, leaves fill with unrelated lines as the corpus grows).  Within
 a leaf a token stays constant at its position if MIN_DOCS documents have it there; all else is a variable
-field.  Lines that keep at least CONSTANT of their tokens share a template if their constants agree.  A
-template recurs if MIN_DOCS documents have it amid different neighbours: copies of one document repeat
-its neighbours (leaves of the lines before and after) too, so contexts must be at least CONTEXTS of the
-documents.  Lines of recurring templates are dropped, in every document; lines under MIN_TOKENS stay.
-
-Everything after the two scans is aggregation with partial sums, over lines of recurring leaves only.
+field.  Lines that keep at least CONSTANT of their tokens share a template if their constants agree; lines
+of a template that MIN_DOCS documents have are candidates.  A template recurs if it has MIN_DOCS contexts,
+a context being the leaves of the nearest lines on each side that are neither candidates nor under
+MIN_TOKENS, so that a run of candidates counts as a whole.  Copies are no evidence: equal texts count
+once, and a text counts only if OWN of its words lie in such lines of its own (in a copy nearly all
+lines are candidates); contexts must be at least CONTEXTS of the texts that count.  Lines of recurring
+templates are dropped, in every document; lines under MIN_TOKENS stay.
+
+Everything after the scans is aggregation with partial sums, over lines of recurring leaves only.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from . import _text as T
 from ._store import Stage, join_checked, plain_docs, small
 
 _U = np.uint64
-DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT, CONTEXTS = 4, 4, 5, 0.6, 0.5
+DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT, CONTEXTS, OWN = 4, 4, 5, 0.6, 0.5, 1 / 3
 LEAVES_MOST = 1 << 20  # leaves that travel with the second scan (8 MB); beyond it they are joined
 _DIGIT = np.array([48 <= c < 58 for c in range(256)])
 _WILD = _U(0x57494C44)
 
 
 def _lines(b: pa.RecordBatch):
-    """Per line: row, number, leaf and context; token hashes and each line's first token."""
+    """Per line: row, number and leaf; token hashes and each line's first token."""
     buf, rows = T.texts(b.column(b.schema.get_field_index("text")))
     begin = np.union1d(rows[:-1], np.flatnonzero(buf == 10) + 1)
     begin = begin[begin < len(buf)]
@@ -45,20 +48,14 @@ def _lines(b: pa.RecordBatch):
         has = n > k
         leaf[has] = T.mix(leaf[has] + h[first[:-1][has] + k] * _U(2 * k + 1))
     leaf = T.mix(leaf)
-    if len(row):
-        same = row[1:] == row[:-1]
-        before = np.concatenate([[_U(0)], np.where(same, leaf[:-1], _U(0))])
-        after = np.concatenate([np.where(same, leaf[1:], _U(0)), [_U(0)]])
-        number = np.arange(len(row)) - T.starts_of(row)[np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))]
-    else:
-        before = after = number = np.zeros(0, np.uint64)
-    return row, number.astype(np.int32), leaf, T.mix(before * _U(3) + after), h, first
+    number = np.arange(len(row)) - T.starts_of(row)[np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))] if len(row) else np.zeros(0, np.int64)
+    return row, number.astype(np.int32), leaf, h, first
 
 
 def _leaves(batches):
     """(leaf, doc_id) of the lines that count, once each in a batch."""
     for b in T.slices(batches):
-        row, _, leaf, _, _, first = _lines(b)
+        row, _, leaf, _, first = _lines(b)
         ok = np.diff(first) >= MIN_TOKENS
         doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row[ok]]
         order = np.lexsort((doc, leaf[ok]))
@@ -73,7 +70,7 @@ def _tokens(leaves: np.ndarray | None):
 
     def run(batches):
         for b in T.slices(batches):
-            row, number, leaf, context, h, first = _lines(b)
+            row, number, leaf, h, first = _lines(b)
             n = np.diff(first)
             ok = n >= MIN_TOKENS
             if leaves is not None:
@@ -82,30 +79,67 @@ def _tokens(leaves: np.ndarray | None):
             doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row[at]]
             spot = np.repeat(first[:-1][at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(int(n[at].sum()))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[at])]).astype(np.int32)), pa.array(h[spot].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number[at]), pa.array(leaf[at].astype(np.int64)), pa.array(context[at].astype(np.int64)), lists], names=["doc_id", "line", "leaf", "context", "toks"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number[at]), pa.array(leaf[at].astype(np.int64)), lists], names=["doc_id", "line", "leaf", "toks"])
 
     return run
 
 
+def _frames(batches):
+    """Per document: a hash of its text, and its lines' leaves and sizes."""
+    for b in T.slices(batches):
+        buf, rows = T.texts(b.column(b.schema.get_field_index("text")))
+        text = T.range_hash(T.prefix(buf), rows[:-1], rows[1:])
+        row, _, leaf, _, first = _lines(b)
+        at = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+        cols = [b.column(b.schema.get_field_index("doc_id")), pa.array(text.astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(leaf.astype(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.diff(first).astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "leaves", "sizes"])
+
+
+def _around(batches):
+    """(template, text, context) of the candidate lines of documents that have enough text of their own."""
+    for b in batches:
+        out = []
+        for text, leaves, sizes, lines, templates in zip(*(b.column(c) for c in ("text", "leaves", "sizes", "lines", "templates")), strict=True):
+            leaf, size = leaves.values.to_numpy().astype(np.uint64), sizes.values.to_numpy()
+            line = lines.values.to_numpy()
+            own = size >= MIN_TOKENS
+            own[line] = False
+            if size[own].sum() < OWN * size.sum():
+                continue
+            at = np.flatnonzero(own)
+            k = np.searchsorted(at, line)
+            near = np.concatenate([[_U(0)], leaf[at], [_U(0)]])
+            context = T.mix(near[k] * _U(3) + near[k + 1])
+            out.append((templates.values.to_numpy(), np.full(len(line), text.as_py()), context.astype(np.int64)))
+        cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["template", "text", "context"])
+
+
 def recurring_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     """``doc_id, lines``: the numbers (from 0) of the lines to drop, for documents that have any."""
     leaves = docs.mapInArrow(_leaves, "leaf long, doc_id long").distinct().groupBy("leaf").count().where(F.col("count") >= MIN_DOCS).select("leaf")
     leaves = stage.put(leaves, "leaves")
     few = small(leaves, 8, 8 * LEAVES_MOST)
     known = np.sort(leaves.toArrow()["leaf"].to_numpy()) if few else None  # LEAVES_MOST at most
-    lines = docs.mapInArrow(_tokens(known), "doc_id long, line int, leaf long, context long, toks array<long>")
+    lines = docs.mapInArrow(_tokens(known), "doc_id long, line int, leaf long, toks array<long>")
     lines = stage.put(lines if few else lines.join(leaves, "leaf", "left_semi"), "lines")
-    spread = lines.select("doc_id", "line", "leaf", "context", F.size("toks").alias("n"), F.posexplode("toks").alias("pos", "tok"))
+    spread = lines.select("doc_id", "line", "leaf", F.size("toks").alias("n"), F.posexplode("toks").alias("pos", "tok"))
     constant = spread.select("leaf", "pos", "tok", "doc_id").distinct().groupBy("leaf", "pos", "tok").count().where(F.col("count") >= MIN_DOCS).select("leaf", "pos", "tok")
     constant = stage.put(constant, "constant")
     constant = constant.where(F.col("tok") != int(_WILD))  # a masked field is no constant
     kept = join_checked(spread, constant, ["leaf", "pos", "tok"], "inner", 32)
-    shape = kept.groupBy("doc_id", "line", "leaf", "context", "n").agg(F.bit_xor(F.xxhash64("pos", "tok")).alias("mask"), F.count("*").alias("held"))
-    shape = shape.where(F.col("held") >= CONSTANT * F.col("n")).select("doc_id", "line", "context", F.xxhash64("leaf", "mask").alias("template"))
+    shape = kept.groupBy("doc_id", "line", "leaf", "n").agg(F.bit_xor(F.xxhash64("pos", "tok")).alias("mask"), F.count("*").alias("held"))
+    shape = shape.where(F.col("held") >= CONSTANT * F.col("n")).select("doc_id", "line", F.xxhash64("leaf", "mask").alias("template"))
     shape = stage.put(shape, "shape")
-    docs_of = shape.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)
-    contexts = shape.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("contexts"))
-    again = docs_of.join(contexts, "template").where((F.col("contexts") >= MIN_DOCS) & (F.col("contexts") >= CONTEXTS * F.col("docs"))).select("template")
+    often = shape.select("template", "doc_id").distinct().groupBy("template").count().where(F.col("count") >= MIN_DOCS).select("template")
+    shape = stage.put(join_checked(shape, stage.put(often, "often"), "template", "left_semi", 16), "candidates")
+    mine = shape.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "template"))).alias("c")).select("doc_id", F.col("c.line").alias("lines"), F.col("c.template").alias("templates"))
+    frames = docs.mapInArrow(_frames, "doc_id long, text long, leaves array<long>, sizes array<int>")
+    around = join_checked(frames, stage.put(mine, "mine"), "doc_id", "inner", 96).mapInArrow(_around, "template long, text long, context long")
+    around = stage.put(around, "around")
+    texts = around.select("template", "text").distinct().groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_DOCS)
+    contexts = around.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("contexts"))
+    again = texts.join(contexts, "template").where((F.col("contexts") >= MIN_DOCS) & (F.col("contexts") >= CONTEXTS * F.col("texts"))).select("template")
     again = stage.put(again, "again")
     out = join_checked(shape, again, "template", "left_semi", 16).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
     return stage.put(out, "drop")

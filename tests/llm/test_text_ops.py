@@ -90,6 +90,23 @@ def test_lines(spark):
         assert got[i]["text"] == (t if not gone else "\n".join(keep)), i
 
 
+def word_lines(r, n):
+    return [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(4, 8))) for _ in range(10)) for _ in range(n)]
+
+
+def test_lines_in_blank_separated_runs_amid_copies(spark):
+    """Templates of several lines, amid blank lines, and in a hot group of copies and near copies."""
+    r = random.Random(12)
+    footer = ["this footer is the same in all of the papers", "and so is its second line of plain words", "with a third one that closes it for good"]
+    pairs = [(i, "\n\n".join([*word_lines(r, 3), *footer, *word_lines(r, 2)])) for i in range(12)]
+    hot = word_lines(r, 8)
+    pairs += [(100 + i, "\n\n".join([*hot, *footer])) for i in range(30)]
+    pairs += [(200 + i, "\n\n".join([*hot[:4], word_lines(r, 1)[0], *hot[5:], *footer])) for i in range(30)]
+    got = {x["doc_id"]: x for x in line_templates.drop_lines(docs(spark, pairs)).collect()}
+    for i, t in pairs:
+        assert got[i]["n_dropped"] == 3 and got[i]["text"] == "\n".join(x for x in t.split("\n") if x not in footer), i
+
+
 def test_lines_without_known_leaves_join(spark, monkeypatch):
     want = sorted(map(str, line_templates.drop_lines(docs(spark, lines_corpus())).select("doc_id", "n_dropped").collect()))
     monkeypatch.setattr(line_templates, "LEAVES_MOST", 0)
