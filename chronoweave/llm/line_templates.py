@@ -9,7 +9,8 @@ a context being the leaves of the nearest lines on each side that are neither ca
 MIN_TOKENS, so that a run of candidates counts as a whole.  Copies are no evidence: equal texts count
 once, and a text counts only if OWN of its words lie in such lines of its own (in a copy nearly all
 lines are candidates); contexts must be at least CONTEXTS of the texts that count.  Lines of recurring
-templates are dropped, in every document; lines under MIN_TOKENS stay.
+templates are dropped, in every document; lines under MIN_TOKENS stay.  For lines of more than LONG tokens
+LONG_DOCS takes the place of MIN_DOCS; where fewer than MIN_DOCS have one, the smallest doc_id keeps it.
 
 Everything after the scans is aggregation with partial sums, over lines of recurring leaves only.
 """
@@ -26,6 +27,7 @@ from ._store import Stage, join_checked, plain_docs, small
 
 _U = np.uint64
 DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT, CONTEXTS, OWN = 4, 4, 5, 0.6, 0.5, 1 / 3
+LONG, LONG_DOCS = 50, 2  # lines of more than LONG tokens recur from LONG_DOCS documents on
 LEAVES_MOST = 1 << 20  # leaves that travel with the second scan (8 MB); beyond it they are joined
 _DIGIT = np.array([48 <= c < 58 for c in range(256)])
 _WILD = _U(0x57494C44)
@@ -53,16 +55,16 @@ def _lines(b: pa.RecordBatch):
 
 
 def _leaves(batches):
-    """(leaf, doc_id) of the lines that count, once each in a batch."""
+    """(leaf, doc_id, long) of the lines that count, once each in a batch."""
     for b in T.slices(batches):
         row, _, leaf, _, first = _lines(b)
         ok = np.diff(first) >= MIN_TOKENS
         doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row[ok]]
         order = np.lexsort((doc, leaf[ok]))
-        x, d = leaf[ok][order], doc[order]
+        x, d, long = leaf[ok][order], doc[order], np.diff(first)[ok][order] > LONG
         keep = np.ones(len(x), bool)
         keep[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)), pa.array(d[keep])], names=["leaf", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)), pa.array(d[keep]), pa.array(long[keep])], names=["leaf", "doc_id", "long"])
 
 
 def _tokens(leaves: np.ndarray | None):
@@ -117,31 +119,35 @@ def _around(batches):
 
 def recurring_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     """``doc_id, lines``: the numbers (from 0) of the lines to drop, for documents that have any."""
-    leaves = docs.mapInArrow(_leaves, "leaf long, doc_id long").distinct().groupBy("leaf").count().where(F.col("count") >= MIN_DOCS).select("leaf")
+    least = F.when(F.col("long"), LONG_DOCS).otherwise(MIN_DOCS)
+    leaves = docs.mapInArrow(_leaves, "leaf long, doc_id long, long boolean").distinct().groupBy("leaf", "long").count().where(F.col("count") >= least).select("leaf")
     leaves = stage.put(leaves, "leaves")
     few = small(leaves, 8, 8 * LEAVES_MOST)
     known = np.sort(leaves.toArrow()["leaf"].to_numpy()) if few else None  # LEAVES_MOST at most
     lines = docs.mapInArrow(_tokens(known), "doc_id long, line int, leaf long, toks array<long>")
     lines = stage.put(lines if few else lines.join(leaves, "leaf", "left_semi"), "lines")
-    spread = lines.select("doc_id", "line", "leaf", F.size("toks").alias("n"), F.posexplode("toks").alias("pos", "tok"))
-    constant = spread.select("leaf", "pos", "tok", "doc_id").distinct().groupBy("leaf", "pos", "tok").count().where(F.col("count") >= MIN_DOCS).select("leaf", "pos", "tok")
+    spread = lines.select("doc_id", "line", "leaf", F.size("toks").alias("n"), (F.size("toks") > LONG).alias("long"), F.posexplode("toks").alias("pos", "tok"))
+    constant = spread.select("leaf", "pos", "tok", "doc_id", "long").distinct().groupBy("leaf", "pos", "tok", "long").count().where(F.col("count") >= least).select("leaf", "pos", "tok")
     constant = stage.put(constant, "constant")
     constant = constant.where(F.col("tok") != int(_WILD))  # a masked field is no constant
     kept = join_checked(spread, constant, ["leaf", "pos", "tok"], "inner", 32)
-    shape = kept.groupBy("doc_id", "line", "leaf", "n").agg(F.bit_xor(F.xxhash64("pos", "tok")).alias("mask"), F.count("*").alias("held"))
-    shape = shape.where(F.col("held") >= CONSTANT * F.col("n")).select("doc_id", "line", F.xxhash64("leaf", "mask").alias("template"))
+    shape = kept.groupBy("doc_id", "line", "leaf", "n", "long").agg(F.bit_xor(F.xxhash64("pos", "tok")).alias("mask"), F.count("*").alias("held"))
+    shape = shape.where(F.col("held") >= CONSTANT * F.col("n")).select("doc_id", "line", "long", F.xxhash64("leaf", "mask").alias("template"))
     shape = stage.put(shape, "shape")
-    often = shape.select("template", "doc_id").distinct().groupBy("template").count().where(F.col("count") >= MIN_DOCS).select("template")
+    often = shape.select("template", "long", "doc_id").distinct().groupBy("template", "long").count().where(F.col("count") >= least).select("template")
     shape = stage.put(join_checked(shape, stage.put(often, "often"), "template", "left_semi", 16), "candidates")
     mine = shape.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "template"))).alias("c")).select("doc_id", F.col("c.line").alias("lines"), F.col("c.template").alias("templates"))
     frames = docs.mapInArrow(_frames, "doc_id long, text long, leaves array<long>, sizes array<int>")
-    around = join_checked(frames, stage.put(mine, "mine"), "doc_id", "inner", 96).mapInArrow(_around, "template long, text long, context long")
+    around = join_checked(frames, stage.put(mine, "mine"), "doc_id", "inner", 400).mapInArrow(_around, "template long, text long, context long")
     around = stage.put(around, "around")
-    texts = around.select("template", "text").distinct().groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_DOCS)
+    texts = around.select("template", "text").distinct().groupBy("template").agg(F.count("*").alias("texts"))
     contexts = around.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("contexts"))
-    again = texts.join(contexts, "template").where((F.col("contexts") >= MIN_DOCS) & (F.col("contexts") >= CONTEXTS * F.col("texts"))).select("template")
+    # of a long line in fewer than MIN_DOCS texts the smallest document keeps its copy
+    held = shape.groupBy("template", "long").agg(F.min("doc_id").alias("first"))
+    again = texts.join(contexts, "template").join(held, "template").where((F.least("texts", "contexts") >= least) & (F.col("contexts") >= CONTEXTS * F.col("texts")))
+    again = again.select("template", F.when(F.least("texts", "contexts") < MIN_DOCS, F.col("first")).alias("keeper"))
     again = stage.put(again, "again")
-    out = join_checked(shape, again, "template", "left_semi", 16).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    out = join_checked(shape, again, "template", "inner", 24).where("keeper IS NULL OR doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
     return stage.put(out, "drop")
 
 

@@ -107,6 +107,17 @@ def test_lines_in_blank_separated_runs_amid_copies(spark):
         assert got[i]["n_dropped"] == 3 and got[i]["text"] == "\n".join(x for x in t.split("\n") if x not in footer), i
 
 
+def test_long_lines_count_from_two_documents_on(spark):
+    """A passage of over 50 words in two or three documents stays in the first only; copies stay whole."""
+    r = random.Random(13)
+    long = [" ".join(word_lines(r, 6)) for _ in range(3)]
+    pairs = [(i, "\n".join([*word_lines(r, 6), long[k], *word_lines(r, 6)])) for i, k in enumerate([0, 0, 1, 1, 1, 2])]
+    copy = "\n".join([" ".join(word_lines(r, 6)), *word_lines(r, 6)])
+    pairs += [(10, copy), (11, copy), (12, copy.rsplit("\n", 1)[0] + "\n" + word_lines(r, 1)[0])]
+    got = {x["doc_id"]: x["n_dropped"] for x in line_templates.drop_lines(docs(spark, pairs)).collect()}
+    assert {i for i, n in got.items() if n} == {1, 3, 4} and max(got.values()) == 1
+
+
 def test_lines_without_known_leaves_join(spark, monkeypatch):
     want = sorted(map(str, line_templates.drop_lines(docs(spark, lines_corpus())).select("doc_id", "n_dropped").collect()))
     monkeypatch.setattr(line_templates, "LEAVES_MOST", 0)
