@@ -1,7 +1,6 @@
 """Boilerplate lines found with a fixed-depth log-template tree and dropped.
 
-A line's leaf is its token count and its first DEPTH tokens, fields with digits read as variable (with
-fewer tokens, leaves fill with unrelated lines as the corpus grows).  Within
+A line's leaf is its token count and its first DEPTH tokens, fields with digits read as variable.  Within
 a leaf a token stays constant at its position if MIN_DOCS documents have it there; all else is a variable
 field.  Lines that keep at least CONSTANT of their tokens share a template if their constants agree; lines
 of a template that MIN_DOCS documents have are candidates.  A template recurs if it has MIN_DOCS contexts,
@@ -26,9 +25,10 @@ from . import _text as T
 from ._store import Stage, join_checked, plain_docs, small
 
 _U = np.uint64
-DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT, CONTEXTS, OWN = 4, 4, 5, 0.6, 0.5, 1 / 3
+DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT, CONTEXTS, OWN = 2, 4, 5, 0.6, 0.5, 1 / 3
 LONG, LONG_DOCS = 50, 2  # lines of more than LONG tokens recur from LONG_DOCS documents on
-LEAVES_MOST = 1 << 20  # leaves that travel with the second scan (8 MB); beyond it they are joined
+LEAVES_MOST = 1 << 20  # leaves or constants that travel with a scan (8 MB); beyond it a bitmap does, and constants are joined
+MAP_BITS = 25  # of bitmaps (4 MB); chance hits cost work but change no result
 _DIGIT = np.array([48 <= c < 58 for c in range(256)])
 _WILD = _U(0x57494C44)
 
@@ -54,34 +54,102 @@ def _lines(b: pa.RecordBatch):
     return row, number.astype(np.int32), leaf, h, first
 
 
+def _counted(b: pa.RecordBatch, which: np.ndarray, keys: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
+    """(key, long, docs): in how many of the batch's documents each key is; documents lie in one batch."""
+    doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[which].astype(np.uint64)
+    at = np.unique(T.mix(keys + T.mix(doc) * _U(3)), return_index=True)[1]
+    keys, one, docs = np.unique(keys[at], return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(long[at][one]), pa.array(docs)], names=["key", "long", "docs"])
+
+
 def _leaves(batches):
-    """(leaf, doc_id, long) of the lines that count, once each in a batch."""
+    """The leaves of the lines that count."""
     for b in T.slices(batches):
         row, _, leaf, _, first = _lines(b)
         ok = np.diff(first) >= MIN_TOKENS
-        doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row[ok]]
-        order = np.lexsort((doc, leaf[ok]))
-        x, d, long = leaf[ok][order], doc[order], np.diff(first)[ok][order] > LONG
-        keep = np.ones(len(x), bool)
-        keep[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)), pa.array(d[keep]), pa.array(long[keep])], names=["leaf", "doc_id", "long"])
+        yield _counted(b, row[ok], leaf[ok], np.diff(first)[ok] > LONG)
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The lowest MAP_BITS bits of the keys as a bitmap, put together from pieces of 4 KB."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 15, np.uint8)
+        bits[table["key"].to_numpy() & 0x7FFF] = 1
+        return pa.table({"piece": table["piece"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    low = keys.select(F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1)).alias("key")).withColumn("piece", F.shiftright("key", 15))
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for r in low.groupBy("piece").applyInArrow(run, "piece long, bits binary").toLocalIterator():  # 4 MB in all
+        out[r["piece"] << 12: (r["piece"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _has(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted list, or may be by the bitmap."""
+    if known.dtype != np.uint8:
+        return np.isin(keys.astype(np.int64), known)
+    at = keys & _U((1 << MAP_BITS) - 1)
+    return (known[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _keys(b: pa.RecordBatch, leaves: np.ndarray):
+    """Lines of the leaves: document row, number, leaf and size; their tokens' line, and key of leaf, position
+    and token (masked fields are no constants and have none)."""
+    row, number, leaf, h, first = _lines(b)
+    n = np.diff(first)
+    at = np.flatnonzero((n >= MIN_TOKENS) & _has(leaves, leaf))
+    n = n[at]
+    line = np.repeat(np.arange(len(at)), n)
+    pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    tok = h[first[:-1][at][line] + pos]
+    plain = tok != _WILD
+    line, pos, tok = line[plain], pos[plain], tok[plain]
+    return row[at], number[at], leaf[at], n, line, T.mix(leaf[at][line] + T.mix(tok + pos.astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
+
+
+def _constants(leaves: np.ndarray):
+    """The keys of the leaves' tokens."""
+
+    def run(batches):
+        for b in T.slices(batches):
+            row, _, _, n, line, key = _keys(b, leaves)
+            yield _counted(b, row[line], key, n[line] > LONG)
+
+    return run
+
+
+def _shapes(leaves: np.ndarray, constants: np.ndarray):
+    """Lines that keep enough constants, with their templates."""
+
+    def run(batches):
+        for b in T.slices(batches):
+            row, number, leaf, n, line, key = _keys(b, leaves)
+            hit = _has(constants, key)
+            held = np.bincount(line[hit], minlength=len(n))
+            mask = np.zeros(len(n), np.uint64)
+            np.add.at(mask, line[hit], key[hit])
+            keep = held >= CONSTANT * n
+            doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row[keep]]
+            template = T.mix(leaf[keep] + T.mix(mask[keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number[keep]), pa.array(n[keep] > LONG), pa.array(template.astype(np.int64))], names=["doc_id", "line", "long", "template"])
+
+    return run
 
 
-def _tokens(leaves: np.ndarray | None):
-    """Lines of the leaves with their tokens' hashes."""
+def _spread(leaves: np.ndarray, constants: np.ndarray):
+    """A row for each possible constant of lines that may keep enough."""
 
     def run(batches):
         for b in T.slices(batches):
-            row, number, leaf, h, first = _lines(b)
-            n = np.diff(first)
-            ok = n >= MIN_TOKENS
-            if leaves is not None:
-                ok &= np.isin(leaf.astype(np.int64), leaves)
-            at = np.flatnonzero(ok)
-            doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row[at]]
-            spot = np.repeat(first[:-1][at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(int(n[at].sum()))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[at])]).astype(np.int32)), pa.array(h[spot].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number[at]), pa.array(leaf[at].astype(np.int64)), lists], names=["doc_id", "line", "leaf", "toks"])
+            row, number, leaf, n, line, key = _keys(b, leaves)
+            hit = _has(constants, key)
+            hit &= (np.bincount(line[hit], minlength=len(n)) >= CONSTANT * n)[line]
+            line, key = line[hit], key[hit]
+            own = b.column(b.schema.get_field_index("own")).to_numpy()[row[line]]
+            doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row[line]]
+            cols = [pa.array(x) for x in (own, doc, number[line], leaf[line].astype(np.int64), n[line].astype(np.int32), key.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["own", "doc_id", "line", "leaf", "n", "key"])
 
     return run
 
@@ -120,19 +188,22 @@ def _around(batches):
 def recurring_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     """``doc_id, lines``: the numbers (from 0) of the lines to drop, for documents that have any."""
     least = F.when(F.col("long"), LONG_DOCS).otherwise(MIN_DOCS)
-    leaves = docs.mapInArrow(_leaves, "leaf long, doc_id long, long boolean").distinct().groupBy("leaf", "long").count().where(F.col("count") >= least).select("leaf")
-    leaves = stage.put(leaves, "leaves")
-    few = small(leaves, 8, 8 * LEAVES_MOST)
-    known = np.sort(leaves.toArrow()["leaf"].to_numpy()) if few else None  # LEAVES_MOST at most
-    lines = docs.mapInArrow(_tokens(known), "doc_id long, line int, leaf long, toks array<long>")
-    lines = stage.put(lines if few else lines.join(leaves, "leaf", "left_semi"), "lines")
-    spread = lines.select("doc_id", "line", "leaf", F.size("toks").alias("n"), (F.size("toks") > LONG).alias("long"), F.posexplode("toks").alias("pos", "tok"))
-    constant = spread.select("leaf", "pos", "tok", "doc_id", "long").distinct().groupBy("leaf", "pos", "tok", "long").count().where(F.col("count") >= least).select("leaf", "pos", "tok")
-    constant = stage.put(constant, "constant")
-    constant = constant.where(F.col("tok") != int(_WILD))  # a masked field is no constant
-    kept = join_checked(spread, constant, ["leaf", "pos", "tok"], "inner", 32)
-    shape = kept.groupBy("doc_id", "line", "leaf", "n", "long").agg(F.bit_xor(F.xxhash64("pos", "tok")).alias("mask"), F.count("*").alias("held"))
-    shape = shape.where(F.col("held") >= CONSTANT * F.col("n")).select("doc_id", "line", "long", F.xxhash64("leaf", "mask").alias("template"))
+    counted = "key long, long boolean, docs long"
+
+    def often_enough(found: DataFrame, name: str) -> tuple[DataFrame, np.ndarray]:
+        found = found.groupBy("key").agg(F.max("long").alias("long"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("key")
+        found = stage.put(found, name)
+        return found, np.sort(found.toArrow()["key"].to_numpy()) if small(found, 8, 8 * LEAVES_MOST) else _bitmap(found)  # LEAVES_MOST at most
+
+    _, leaves = often_enough(docs.mapInArrow(_leaves, counted), "leaves")  # a filter only: constants need as many documents
+    constants, known = often_enough(docs.mapInArrow(_constants(leaves), counted), "constants")
+    if known.dtype != np.uint8:
+        shape = docs.mapInArrow(_shapes(leaves, known), "doc_id long, line int, long boolean, template long")
+    else:
+        own = docs.withColumn("own", F.monotonically_increasing_id())  # tells repeated rows of a document apart
+        kept = own.mapInArrow(_spread(leaves, known), "own long, doc_id long, line int, leaf long, n int, key long").join(constants, "key")
+        shape = kept.groupBy("own", "doc_id", "line", "leaf", "n").agg(F.bit_xor("key").alias("mask"), F.count("*").alias("held")).where(F.col("held") >= CONSTANT * F.col("n"))
+        shape = shape.select("doc_id", "line", (F.col("n") > LONG).alias("long"), F.xxhash64("leaf", "mask").alias("template"))
     shape = stage.put(shape, "shape")
     often = shape.select("template", "long", "doc_id").distinct().groupBy("template", "long").count().where(F.col("count") >= least).select("template")
     shape = stage.put(join_checked(shape, stage.put(often, "often"), "template", "left_semi", 16), "candidates")

@@ -118,6 +118,13 @@ def test_long_lines_count_from_two_documents_on(spark):
     assert {i for i, n in got.items() if n} == {1, 3, 4} and max(got.values()) == 1
 
 
+def test_lines_with_names_among_the_leading_tokens(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    pairs = [(i, "\n".join([*word_lines(r, 3), f"written by {word()} {word()} for the daily news desk of our paper", *word_lines(r, 2)])) for i in range(40)]
+    assert [x["n_dropped"] for x in line_templates.drop_lines(docs(spark, pairs)).collect()] == [1] * 40
+
+
 def test_lines_without_known_leaves_join(spark, monkeypatch):
     want = sorted(map(str, line_templates.drop_lines(docs(spark, lines_corpus())).select("doc_id", "n_dropped").collect()))
     monkeypatch.setattr(line_templates, "LEAVES_MOST", 0)
