@@ -7,6 +7,7 @@ value).  Times are returned as text, so results do not depend on a client's time
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -357,51 +358,53 @@ _PAIRS = f"{_SYM}, E AS (SELECT a.patient_id, a.o ao, b.o bo, a.symbol sa, b.sym
 _SUPPORT = "GROUP BY sa, rel, sb HAVING count(DISTINCT patient_id) >= (SELECT ceil(0.3 * n - 1e-9) FROM N)"
 
 
-def _symbols(spark, d) -> tuple[DataFrame, int]:
-    rows = staged(intervals(spark, d).where("value IN ('Low', 'High') AND concept IN ('purchase', 'error')"), "mined")
+def _symbols(spark, d, whole: bool) -> tuple[DataFrame, int]:
+    """The intervals that the SQL takes, or all of them; and their patients."""
+    rows = intervals(spark, d)
+    rows = staged(rows if whole else rows.where("value IN ('Low', 'High') AND concept IN ('purchase', 'error')"), "mined")
     return rows, rows.select("patient_id").distinct().count()
 
 
-def _frequent(spark, d) -> tuple[DataFrame, int]:
-    rows, n = _symbols(spark, d)
+def _frequent(spark, d, whole: bool) -> tuple[DataFrame, int]:
+    rows, n = _symbols(spark, d, whole)
     syms, least = M.symbols(rows), M.least_patients(0.3, n)
     return syms.join(M.frequent_symbols(syms, least).select("symbol"), "symbol"), least
 
 
 @query(f"WITH {_SYM} SELECT symbol, count(DISTINCT patient_id) vertical FROM M GROUP BY symbol HAVING count(DISTINCT patient_id) >= (SELECT ceil(0.3 * n - 1e-9) FROM N)")
-def symbol_support_l1(spark, d):
-    rows, n = _symbols(spark, d)
+def symbol_support_l1(spark, d, whole=False):
+    rows, n = _symbols(spark, d, whole)
     return M.frequent_symbols(M.symbols(rows), M.least_patients(0.3, n))
 
 
 @query(f"WITH {_PAIRS} SELECT sa a_symbol, rel relation, sb b_symbol, count(*) n FROM E GROUP BY ALL")
-def relation_pairs_l2(spark, d):
-    return M.pairs(_frequent(spark, d)[0]).groupBy("a_symbol", "relation", "b_symbol").agg(F.count("*").alias("n"))
+def relation_pairs_l2(spark, d, whole=False):
+    return M.pairs(_frequent(spark, d, whole)[0]).groupBy("a_symbol", "relation", "b_symbol").agg(F.count("*").alias("n"))
 
 
 _ALLEN = _PAIRS.replace(_REL, "CASE WHEN a.start_ts = b.start_ts AND a.end_ts = b.end_ts THEN '=' WHEN a.start_ts = b.start_ts THEN 's' WHEN b.start_ts > a.end_ts THEN '<' WHEN b.start_ts = a.end_ts THEN 'm' WHEN b.end_ts > a.end_ts THEN 'o' WHEN b.end_ts = a.end_ts THEN 'f' ELSE 'c' END")
 
 
 @query(f"WITH {_ALLEN} SELECT rel relation, count(*) n FROM E GROUP BY ALL")
-def relation_seven(spark, d):
-    return M.pairs(_frequent(spark, d)[0], "Seven").groupBy("relation").agg(F.count("*").alias("n"))
+def relation_seven(spark, d, whole=False):
+    return M.pairs(_frequent(spark, d, whole)[0], "Seven").groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_PAIRS} SELECT sa a_symbol, rel relation, sb b_symbol, count(DISTINCT patient_id) vertical, count(*) instances FROM E {_SUPPORT}")
-def tirp_l2_support(spark, d):
-    syms, least = _frequent(spark, d)
+def tirp_l2_support(spark, d, whole=False):
+    syms, least = _frequent(spark, d, whole)
     return M.pair_support(M.pairs(syms), least)
 
 
 @query(f"WITH {_PAIRS} SELECT sa a_symbol, rel relation, sb b_symbol, count(DISTINCT patient_id) vertical, count(*) instances FROM E WHERE rel <> 'b' OR epoch(bs) - epoch(ae) <= 3 * 86400 {_SUPPORT}")
-def tirp_max_gap(spark, d):
-    syms, least = _frequent(spark, d)
+def tirp_max_gap(spark, d, whole=False):
+    syms, least = _frequent(spark, d, whole)
     return M.pair_support(M.pairs(syms, max_gap=(3, "day")), least)
 
 
 @query(f"WITH {_PAIRS} SELECT sa a_symbol, rel relation, sb b_symbol, count(DISTINCT patient_id) vertical, count(*) instances FROM E WHERE NOT EXISTS (SELECT 1 FROM X c WHERE c.patient_id = E.patient_id AND rel = 'b' AND c.start_ts >= ae AND c.end_ts <= bs AND ((c.concept = ca AND c.value IS DISTINCT FROM va) OR (c.concept = cb AND c.value IS DISTINCT FROM vb))) {_SUPPORT}")
-def tirp_adjacency_filtered(spark, d):
-    syms, least = _frequent(spark, d)
+def tirp_adjacency_filtered(spark, d, whole=False):
+    syms, least = _frequent(spark, d, whole)
     return M.pair_support(M.pairs(syms, adjacency=True), least)
 
 
@@ -412,28 +415,34 @@ _L3 = (f"{_PAIRS}, E2 AS (SELECT * FROM E {_GAP}), K2 AS (SELECT sa, rel, sb FRO
        "H AS (SELECT patient_id, 1 AS level, symbol AS pattern, count(*) horizontal FROM X GROUP BY ALL UNION ALL SELECT patient_id, 2, sa || '|' || sb || ':' || rel, count(*) FROM G2 GROUP BY ALL UNION ALL SELECT patient_id, 3, pattern, count(*) FROM T3 JOIN K3 USING (pattern) GROUP BY ALL)")
 
 
-def _mined(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows, n = _symbols(spark, d)
-    return M.mine(rows, n, 0.3, 3, max_gap=(8, "day")), rows
+def _mined(spark, d, whole: bool) -> tuple[DataFrame, DataFrame]:
+    rows, n = _symbols(spark, d, whole)
+    return M.mine(rows, n, 0.3, **({} if whole else {"max_level": 3}), max_gap=(8, "day")), rows
 
 
 @query(f"WITH {_L3} SELECT pattern, count(*) vertical, CAST(sum(horizontal) AS BIGINT) instances FROM H WHERE level = 3 GROUP BY pattern")
-def tirp_l3_support(spark, d):
-    return _mined(spark, d)[0].where("level = 3").groupBy("pattern").agg(F.count("*").alias("vertical"), F.sum("horizontal").alias("instances"))
+def tirp_l3_support(spark, d, whole=False):
+    return _mined(spark, d, whole)[0].where("level >= 3" if whole else "level = 3").groupBy("pattern").agg(F.count("*").alias("vertical"), F.sum("horizontal").alias("instances"))
 
 
 @query(f"WITH {_L3} SELECT patient_id, CAST(level AS INT) AS level, pattern, horizontal FROM H")
-def horizontal_support_long(spark, d):
-    return _mined(spark, d)[0]
+def horizontal_support_long(spark, d, whole=False):
+    return _mined(spark, d, whole)[0]
 
 
 @query(f"WITH {_L3}, Q AS (SELECT DISTINCT pattern FROM H), U AS (SELECT DISTINCT patient_id FROM M) SELECT U.patient_id id, string_agg(CAST(coalesce(horizontal, 0) AS VARCHAR), ',' ORDER BY Q.pattern) cells FROM U CROSS JOIN Q LEFT JOIN H ON H.patient_id = U.patient_id AND H.pattern = Q.pattern GROUP BY U.patient_id")
-def entity_pattern_matrix(spark, d):
-    found, rows = _mined(spark, d)
+def entity_pattern_matrix(spark, d, whole=False):
+    found, rows = _mined(spark, d, whole)
     cells, _ = M.matrix(staged(found, "found"), rows)
     return cells.select("id", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("cells"))
 
 
+#: The same over all concepts and values, at the default depth (``all_tirp_l3_support``: from level 3 on); SQL
+#: would be too slow there, tests hold them against brute force.
+MINING = (symbol_support_l1, relation_pairs_l2, relation_seven, tirp_l2_support, tirp_max_gap, tirp_adjacency_filtered, tirp_l3_support, horizontal_support_long, entity_pattern_matrix)
+QUERIES.update({f"all_{f.__name__}": partial(f, whole=True) for f in MINING})
+
+
 @query()
 def yes_no_pipeline(spark, d):
     """Cohorts, abstraction and mining of the first window, both labels."""
