@@ -1,8 +1,8 @@
 """Licence scan with DataFrame functions only.
 
-Lines that use licence words are compared with templates by the cosine of sparse TF-IDF vectors.  A
-term's document frequency is counted over all files (only terms of the templates are counted; a term
-outside them weighs as one never seen).  A file's own licence is its best line's.  A file is a licence
+Lines that use licence words, blocks of adjacent lines with one and whole files named like a licence are
+compared with templates by the cosine of sparse TF-IDF vectors.  The document frequencies of all their terms
+are counted over all files.  A file's own licence is its best region's.  A file is a licence
 file if it is named like one or half of its words are licence text; its licence is its directory's.
 Files without a licence of their own inherit from the nearest directory above that has one: directories
 (not files) are joined with their ancestors' paths, and files with their directory's answer.
@@ -33,6 +33,22 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is prohibited."],
 }
+#: Longer and shorter forms, for blocks, whole files and tags; the line templates above come first at equal scores.
+LONGER = {
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "Apache-2.0": ["Apache License", "SPDX-License-Identifier: Apache-2.0",
+                   "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause", "BSD 3-Clause License"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "SPDX-License-Identifier: GPL-2.0",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0",
+                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0"],
+    "MIT": ["MIT License", "SPDX-License-Identifier: MIT", "Licensed under the MIT License, see LICENSE for details.",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+}
 CUE = r"(?i)licen[cs]e|copyright|creative commons|\bcc[ -]?(?:by|0)\b|public domain|rights reserved|redistribution|permission is hereby|proprietary"
 NAMED = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
 LEAST, OWN_SHARE = 0.6, 0.5
@@ -54,6 +70,18 @@ def _template_terms() -> dict[tuple[str, int], dict[str, int]]:
     return out
 
 
+def _forms() -> dict[tuple[str, int], dict[str, int]]:
+    """The terms of all templates, the longer forms numbered after the line templates."""
+    import re
+
+    out = dict(_template_terms())
+    for name, texts in sorted(LONGER.items()):
+        for k, t in enumerate(texts, len(TEMPLATES[name])):
+            words = [w for w in re.split(_SPLIT, t.lower()) if w]
+            out[name, k] = {w: words.count(w) for w in words}
+    return out
+
+
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
     """``<key>, license, score, origin, directory`` for every row.
 
@@ -66,7 +94,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     spark = files.sparkSession
     st = Stage(spark, "licence")
     src = files.select(F.col(key).alias("k"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("p"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    templates = _template_terms()
+    templates = _forms()
     known = sorted({w for t in templates.values() for w in t})
     seen = src.select(F.explode(F.array_intersect(F.array_distinct(_terms("t")), F.array(*map(F.lit, known)))).alias("w")).groupBy("w").count()
     df = {r["w"]: r["count"] for r in seen.collect()}  # the templates' terms at most
@@ -78,18 +106,28 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in t.items()))
         rows += [(name, k, w, n * idf[w] / norm) for w, n in t.items()]
     vectors = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', {b}, '{w}', {v!r}D)" for a, b, w, v in rows) + " AS v(license, template, w, tw)"))  # fixed by TEMPLATES
-    weights = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', {v!r}D)" for w, v in sorted(idf.items())) + " AS v(w, idf)"))
-
-    cued = src.where(F.regexp_like("t", F.lit(CUE)) | F.regexp_like("p", F.lit(NAMED)))
-    lines = cued.select("k", "p", F.size(_terms("t")).alias("words"), F.regexp_like("p", F.lit(NAMED)).alias("named"), F.posexplode(F.split("t", "\n")).alias("line", "x"))
-    lines = lines.where(F.regexp_like("x", F.lit(CUE)))
+    named = F.regexp_like("p", F.lit(NAMED))
+    cued = src.where(F.regexp_like("t", F.lit(CUE)) | named)
+    # regions: lines with a cue, blocks of adjacent lines with one, and whole licence files; a block of one line is that line
+    x = F.split("t", "\n")
+    own = F.filter(F.transform(x, lambda v, i: F.struct(i.cast("int").alias("line"), v.alias("x"))), lambda r: F.regexp_like(r["x"], F.lit(CUE)))
+    parts = F.split("t", "\n[ \t\r]*\n")
+    blocks = F.filter(F.transform(parts, lambda v, i: F.struct((-1 - i).cast("int").alias("line"), v.alias("x"))), lambda r: F.regexp_like(r["x"], F.lit(CUE)) & r["x"].contains("\n"))
+    whole = F.when(named, F.array(F.struct(F.lit(-(1 << 30)).alias("line"), F.col("t").alias("x")))).otherwise(F.array().cast("array<struct<line:int,x:string>>"))
+    lines = st.put(cued.select("k", "p", F.size(_terms("t")).alias("words"), named.alias("named"), F.explode(F.concat(own, blocks, whole)).alias("r")).select("k", "p", "words", "named", "r.*"), "regions")
     terms = lines.select("k", "p", "words", "named", "line", F.explode(_terms("x")).alias("w")).groupBy("k", "p", "words", "named", "line", "w").agg(F.count("*").alias("n"))
-    terms = terms.join(weights, "w", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(unseen)))
+    terms = st.put(terms, "terms")
+    # document frequencies, over all files, of every term of a region
+    vocabulary = st.put(terms.select("w").distinct(), "vocabulary")
+    counts = join_checked(src.select(F.explode(F.array_distinct(_terms("t"))).alias("w")), vocabulary, "w", "left_semi", 48).groupBy("w").agg(F.count("*").alias("files"))
+    weights = st.put(counts.select("w", (F.log(F.lit(1.0 + total) / (1 + F.col("files"))) + 1).alias("idf")), "weights")
+    terms = join_checked(terms, weights, "w", "left", 48).withColumn("v", F.col("n") * F.coalesce("idf", F.lit(unseen)))
     size = terms.groupBy("k", "p", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("n").alias("in_line"))
     dots = terms.join(vectors, "w").groupBy("k", "p", "words", "named", "line", "license", "template").agg(F.sum(F.col("v") * F.col("tw")).alias("dot"))
     cosine = dots.join(size, (dots.k.eqNullSafe(size.k)) & (dots.p == size.p) & (dots.line == size.line)).select(dots.k, dots.p, "words", "named", dots.line, "license", "in_line", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= LEAST)
     best = cosine.groupBy("k", "p", "words", "named", "line").agg(F.min_by(F.struct("license", "score", "in_line"), F.struct(-F.col("score"), "license")).alias("b"))
-    own = best.groupBy("k", "p", "words", "named").agg(F.min_by(F.struct("b.license", "b.score"), F.struct(-F.col("b.score"), "b.license")).alias("b"), F.sum("b.in_line").alias("licensed"))
+    own = best.groupBy("k", "p", "words", "named").agg(F.min_by(F.struct("b.license", "b.score"), F.struct(-F.col("b.score"), "b.license")).alias("b"), F.sum(F.when(F.col("line") >= 0, F.col("b.in_line"))).alias("lines"), F.max(F.when(F.col("line") < 0, F.col("b.in_line"))).alias("block"))
+    own = own.withColumn("licensed", F.greatest("lines", "block"))
     own = own.select("k", "p", "b.license", "b.score", F.when(F.col("named") | (F.col("licensed") >= OWN_SHARE * F.col("words")), "file").otherwise("header").alias("origin"))
     own = st.put(own, "own")
 

@@ -291,3 +291,14 @@ def test_licences(spark):
     mine = next(r for r in rows if r["doc_id"] == 4)
     assert mine["license"] == name and mine["score"] == pytest.approx(-score, abs=1e-6)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_licences_of_blocks_tags_and_titles(spark):
+    gpl = licenses.LONGER["GPL-3.0"][-1].split()
+    wrapped = "\n".join("# " + " ".join(gpl[i: i + 9]) for i in range(0, len(gpl), 9))
+    plain = [(100 + i, f"x/{i}.txt", "see the details for more, all in the file, by one of you") for i in range(60)]
+    files = [(1, "a/x.py", "# SPDX-License-Identifier: Apache-2.0\n\ncode"), (2, "b/LICENSE", "Apache License\n\nterms"), (3, "c/x.py", wrapped + "\n\nimport os"), (4, "d/x.py", " ".join(gpl)),
+             (5, "e/x.py", "Copyright (c) 2019 Jane Doe. Licensed under the MIT License, see LICENSE for details.")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(files + plain, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(1, 6)] == ["Apache-2.0", "Apache-2.0", "GPL-3.0", "GPL-3.0", "MIT"]
+    assert not any(got[i] for i, _, _ in plain)
