@@ -20,7 +20,7 @@ from .operators import intervals as I
 from .operators import mining as M
 from .plans.catalog import Catalog, parse
 from .plans.executor import evaluate
-from .plans.pipeline import Leg, run_leg
+from .plans.pipeline import run_leg, yes_no_legs
 from .config import Config, Mining, Windowing
 from .session import staged
 
@@ -445,14 +445,12 @@ QUERIES.update({f"all_{f.__name__}": partial(f, whole=True) for f in MINING})
 
 @query()
 def yes_no_pipeline(spark, d):
-    """Cohorts, abstraction and mining of the first window, both labels."""
+    """Cohorts, abstraction and mining of every window, both labels, at the default depth."""
     events = staged(a(spark, d), "events")
-    config = Config(Windowing(2, 1, 1, 1995, 2001), OUTCOME, RATIO, SEED, Mining(0.2, max_level=3, max_gap=60))
-    labels = staged(C.window_labels(events, OUTCOME, WINDOWS[:1], RATIO, SEED), "labels")
+    config = Config(Windowing(2, 1, 1, 1995, 2001), OUTCOME, RATIO, SEED, Mining(0.2, max_gap=60))
     out = None
-    for label in ("YES", "NO"):
-        ids = labels.where(F.col("label") == label).select("patient_id")
-        made = run_leg(events, Leg(WINDOWS[0], label, ids, ids.count()), config, derive=lambda e: I.concatenate(e.withColumn("value", F.when(F.col("value_num") < 20000, "Low").otherwise("High"))))
+    for leg in yes_no_legs(events, config, WINDOWS):
+        made = run_leg(events, leg, config, derive=lambda e: I.concatenate(e.withColumn("value", F.when(F.col("value_num") < 20000, "Low").otherwise("High"))))
         out = made if out is None else out.unionByName(made)
     return out
 
