@@ -29,6 +29,7 @@ DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT, CONTEXTS, OWN = 2, 4, 5, 0.6, 0.5, 1 / 3
 LONG, LONG_DOCS = 50, 2  # lines of more than LONG tokens recur from LONG_DOCS documents on
 LEAVES_MOST = 1 << 20  # leaves or constants that travel with a scan (8 MB); beyond it a bitmap does, and constants are joined
 MAP_BITS = 25  # of bitmaps (4 MB); chance hits cost work but change no result
+SLICE = 1 << 18  # bytes of text at a time, as arrays over its tokens take many times that
 _DIGIT = np.array([48 <= c < 58 for c in range(256)])
 _WILD = _U(0x57494C44)
 
@@ -64,7 +65,7 @@ def _counted(b: pa.RecordBatch, which: np.ndarray, keys: np.ndarray, long: np.nd
 
 def _leaves(batches):
     """The leaves of the lines that count."""
-    for b in T.slices(batches):
+    for b in T.slices(batches, most=SLICE):
         row, _, leaf, _, first = _lines(b)
         ok = np.diff(first) >= MIN_TOKENS
         yield _counted(b, row[ok], leaf[ok], np.diff(first)[ok] > LONG)
@@ -112,7 +113,7 @@ def _constants(leaves: np.ndarray):
     """The keys of the leaves' tokens."""
 
     def run(batches):
-        for b in T.slices(batches):
+        for b in T.slices(batches, most=SLICE):
             row, _, _, n, line, key = _keys(b, leaves)
             yield _counted(b, row[line], key, n[line] > LONG)
 
@@ -123,7 +124,7 @@ def _shapes(leaves: np.ndarray, constants: np.ndarray):
     """Lines that keep enough constants, with their templates."""
 
     def run(batches):
-        for b in T.slices(batches):
+        for b in T.slices(batches, most=SLICE):
             row, number, leaf, n, line, key = _keys(b, leaves)
             hit = _has(constants, key)
             held = np.bincount(line[hit], minlength=len(n))
@@ -141,7 +142,7 @@ def _spread(leaves: np.ndarray, constants: np.ndarray):
     """A row for each possible constant of lines that may keep enough."""
 
     def run(batches):
-        for b in T.slices(batches):
+        for b in T.slices(batches, most=SLICE):
             row, number, leaf, n, line, key = _keys(b, leaves)
             hit = _has(constants, key)
             hit &= (np.bincount(line[hit], minlength=len(n)) >= CONSTANT * n)[line]
@@ -156,7 +157,7 @@ def _spread(leaves: np.ndarray, constants: np.ndarray):
 
 def _frames(batches):
     """Per document: a hash of its text, and its lines' leaves and sizes."""
-    for b in T.slices(batches):
+    for b in T.slices(batches, most=SLICE):
         buf, rows = T.texts(b.column(b.schema.get_field_index("text")))
         text = T.range_hash(T.prefix(buf), rows[:-1], rows[1:])
         row, _, leaf, _, first = _lines(b)
