@@ -1,11 +1,13 @@
 """Vectorised byte kernels over Arrow string columns: words, hashes and windows without per-row Python.
 
-All hashes are 64-bit polynomial prefix hashes (mod 2**64, odd base, random byte codes) that are mixed
-at the end, so the hash of any byte range costs O(1) once a batch has been summed.
+``hashes`` names words, lines and texts: eight bytes at a time go through a 64-bit mixing chain, long
+ranges through BLAKE2.  ``range_hash`` is a polynomial prefix hash (mod 2**64) whose value for any byte
+range costs O(1); its structure allows collisions of long ranges, so it only picks and filters windows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 from types import ModuleType
@@ -61,6 +63,33 @@ def range_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Ranges beyond this many bytes are hashed by BLAKE2.
+LANES = 64
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, by their content alone."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _U(_BASE) + _U(0x5851F42D4C957F2D))
+    if not len(size) or not len(buf):
+        return out
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    lanes = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each position on
+    at = np.flatnonzero((size > 0) & (size <= LANES))
+    done = 0
+    while len(at):
+        part = lanes[starts[at] + done] & _MASK[np.minimum(size[at] - done, 8)]
+        out[at] = mix((out[at] ^ part) * _U(0xD6E8FEB86659FD93) + _U(done + 1))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LANES).tolist():
+        digest = hashlib.blake2b(buf[starts[i]: ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = _U(int.from_bytes(digest, "little"))
+    return out
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without copying, and the n + 1 row offsets into them (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -69,9 +98,13 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.fill_null("" if not pa.types.is_binary(column.type) else b"")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, off, data = column.buffers()
-    o = np.frombuffer(off, np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4)).astype(np.int64) if len(column) else np.zeros(1, np.int64)
-    b = np.frombuffer(data, np.uint8, int(o[-1] - o[0]), int(o[0])) if data is not None and o[-1] > o[0] else np.zeros(0, np.uint8)
-    return b, o - o[0]
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.dtype(np.int64 if wide else np.int32)
+    o = np.frombuffer(off, kind, len(column) + 1, column.offset * kind.itemsize).astype(np.int64)
+    if data is None or o[-1] <= o[0]:
+        return np.zeros(0, np.uint8), o - o[0]
+    return np.frombuffer(data, np.uint8, int(o[-1] - o[0]), int(o[0])), o - o[0]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,29 +1,37 @@
 """Exact similarity join on word shingles with token-combination prefixes.
 
-Method (k-wise signatures).  Shingles are ordered globally, rare before frequent.  A document may miss
-at most ``n - ceil(t n)`` of its shingles in any partner, so two partners that end their prefixes after
-more "evidence" than that share a signature: a rare shingle counts one; the frequent class is split into
-cells by hash, and a cell with m shingles of the prefix counts m - 1, since fewer than two shared ones
-can go unseen.  Prefixes are extended until the evidence suffices; signatures are single rare shingles
-and two-shingle combinations within a frequent cell.  Cells per document scale with its length, so
-combinations stay linear in it; a length band and the next name the cells, as partners differ by 1/t.
-
-Before that, documents that cannot have any partner are dropped: a third of the hash space is counted,
-and a document with more unshared shingles there than it may miss has none.  Equal sets are one class.
-
-Pairs are not expanded within groups: each document is first verified against one partner per round
-(star links), components are formed, and only pairs of different components that still share a signature
-and pass the length, shared-count and bitmap bounds are verified by exact intersection.
+Signatures.  Shingles are ordered globally, rare before frequent, by classes of how many sets have them.
+A set may miss at most ``n - ceil(t n)`` of its shingles in any partner, so two partners that end their
+prefixes after more "evidence" than that share a signature.  A rare shingle is one signature and counts
+one.  Each frequent class is split into cells by hash, and combinations of k shingles of one cell are
+signatures: k is 2 for shingles of FREQUENT sets, 3 for those of FREQUENT squared, and so on to
+MOST_TOGETHER.  A cell with m shingles of the prefix counts ``m - k + 1``, as fewer than k shared ones can
+go unseen, and prefixes are extended until the evidence suffices.  Cells per set scale with its length,
+so combinations stay linear in it; a length band and the next name the cells, as partners differ by 1/t.
+
+Before that, sets that cannot have any partner are dropped: a third of the hash space is counted, and a
+set with more unshared shingles there than it may miss has none.  Equal sets are one class throughout.
+
+Verification.  Sets that share a signature meet through its pivot, the least of them, never pairwise.
+1. Each set is verified against the pivot that it shares most signatures with; links form components.
+2. Where a signature still joins several components, its sets are written as differences from the pivot
+   (one intersection each, which also finds direct links).  What all have in common is gone from them,
+   so prefixes of the differences, rare first, are short and selective: two sets x, y of which y is not
+   linked with the pivot r share more than ``(|x ^ r| + k (|r| - |x|)) / 2`` differences, with
+   ``k = (1 - t) / (1 + t)``, or they are no link.  Sets of different components that share a prefix
+   difference are verified by exact intersection.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -32,21 +40,24 @@ from .components import components
 
 _U = np.uint64
 SAMPLE = 0.35  # share of the hash space that the first count covers; above 1 - threshold
-HEAVY_MOST = 1 << 18  # at most so many frequent shingles are broadcast (2 MB)
-HEAVY_LEAST = 32  # documents that make a shingle frequent, at least
+FREQUENT = 32  # sets that make a shingle frequent; each further power of it raises k by one
+MOST_TOGETHER = 4  # shingles in a combination, at most
 KEY_BITS = 40  # counts are kept by this many leading bits of a hash; clashes only weaken the filter
-STAR_ROUNDS = 2
-MAP_WORDS = 16  # bits of one document that another lacks bound their intersection before it is computed
+SMALL = 128  # sets of this size and less use one class and pairs, as their cells hold too little
 
-_SCAN = "kind int, id long, n int, sig long, seen int, bucket int, blob binary, toks binary"
-_COUNT = "kind int, key long, val int"
+_SCAN_ARROW = pa.schema([
+    ("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("sig2", pa.int64()),
+    ("seen", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("toks", pa.binary())])
+_SCAN = "kind int, id long, n int, sig long, sig2 long, seen int, bucket int, blob binary, toks binary"
+_COUNT_ARROW = pa.schema([("sig", pa.int64()), ("shared", pa.int32()), ("often", pa.binary())])
+_COUNT = "sig long, shared int, often binary"
 
 
 def _distinct(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes in order within each row, their rows, and the count of each row."""
     buf, rows = T.texts(batch.column(batch.schema.get_field_index("text")))
     s, e, first = T.words(buf, rows)
-    h = T.range_hash(T.prefix(T.lower(buf)), s, e)
+    h = T.hashes(T.lower(buf), s, e)
     g, row = T.grams(h, first, words, short=True)
     order = np.lexsort((g, row))
     g, row = g[order], row[order]
@@ -58,14 +69,17 @@ def _distinct(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _pack(keys: list[np.ndarray], refs: list[np.ndarray], ids: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
-    """Postings by bucket: the ids present, then (local id, rest of the key) for each posting."""
+    """Postings by bucket: the sets present, then (local set, rest of the key) for each posting."""
     k, r, ids = np.concatenate(keys), np.concatenate(refs), np.concatenate(ids)
     bucket = (k >> _U(KEY_BITS - bits)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket, rest, r = bucket[order], (k[order] & _U((1 << (KEY_BITS - bits)) - 1)).astype(np.uint32), r[order]
+    rest = (k[order] & _U((1 << (KEY_BITS - bits)) - 1)).astype(np.uint32)
+    bucket, r = bucket[order], r[order]
     for a, z in T.runs(bucket):
         used, local = np.unique(r[a:z], return_inverse=True)
-        yield int(bucket[a]), np.array([len(used), z - a], np.int64).tobytes() + ids[used].tobytes() + local.astype(np.uint32 if len(used) >> 16 else np.uint16).tobytes() + rest[a:z].tobytes()
+        local = local.astype(np.uint32 if len(used) >> 16 else np.uint16)
+        head = np.array([len(used), z - a], np.int64).tobytes()
+        yield int(bucket[a]), head + ids[used].tobytes() + local.tobytes() + rest[a:z].tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +91,14 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, np.uint32, m, at + m * wide().itemsize), ids[local]
 
 
-def _rows(schema: pa.Schema, count: int, **cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(count, f.type) for f in schema], schema=schema)
-
-
-_SCAN_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("seen", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("toks", pa.binary())])
+def _rows(count: int, **cols) -> pa.RecordBatch:
+    arrays = [pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(count, f.type) for f in _SCAN_ARROW]
+    return pa.RecordBatch.from_arrays(arrays, schema=_SCAN_ARROW)
 
 
 def _scan(words: int, bits: int, share: float, tokens: bool):
-    """Per document its set's size and signature (kind 0); postings of the counted shingles (kind 1).
-    With ``tokens`` the rows also hold the sorted set, and postings name documents instead of sets."""
+    """Per row its set's size, 128-bit signature and count of keys (kind 0); postings of the counted
+    shingles (kind 1).  With ``tokens`` the rows also hold the sorted set."""
     limit = _U(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches):
@@ -96,25 +108,31 @@ def _scan(words: int, bits: int, share: float, tokens: bool):
             parts = list(_pack(keys, refs, ids, bits)) if held else []
             for i in range(0, len(parts), 64):
                 p = parts[i: i + 64]
-                yield _rows(_SCAN_ARROW, len(p), kind=[1] * len(p), bucket=[x[0] for x in p], blob=[x[1] for x in p])
+                yield _rows(len(p), kind=[1] * len(p), bucket=[x[0] for x in p], blob=[x[1] for x in p])
 
         for b in T.slices(batches):
             g, row, n = _distinct(b, words)
             at = np.concatenate([[0], np.cumsum(n)])
-            sums = np.zeros(len(g) + 1, np.uint64)
-            np.cumsum(T.mix(g ^ _U(0x5851F42D4C957F2D)), out=sums[1:])
-            sig = T.mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64)).astype(np.int64)
+            sig = []
+            for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+                sums = np.zeros(len(g) + 1, np.uint64)
+                np.cumsum(T.mix(T.mix(g ^ _U(salt)) + _U(salt)), out=sums[1:])
+                sig.append(T.mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64)).astype(np.int64))
             own = b.column(b.schema.get_field_index("doc_id")).cast(pa.int64())
+            key = g >> _U(64 - KEY_BITS)
             pick = g <= limit
-            cols = {"kind": np.zeros(len(n), np.int32), "id": own, "n": n.astype(np.int32), "sig": sig, "seen": np.bincount(row[pick], minlength=len(n)).astype(np.int32)}
+            new = pick.copy()  # shingles of one set that clash in their keys count as one that may be shared
+            new[1:] &= (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+            seen = np.bincount(row[new], minlength=len(n)).astype(np.int32)
+            cols = {"kind": np.zeros(len(n), np.int32), "id": own, "n": n.astype(np.int32), "sig": sig[0], "sig2": sig[1], "seen": seen}
             if tokens:
                 raw = g.tobytes()
                 cols["toks"] = [raw[8 * i: 8 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield _rows(_SCAN_ARROW, len(n), **cols)
-            keys.append(g[pick] >> _U(64 - KEY_BITS))
-            refs.append(row[pick] + docs)
-            ids.append(own.to_numpy() if tokens else sig)  # with tokens, rows are those of known ids
-            held, docs = held + int(pick.sum()), docs + len(n)
+            yield _rows(len(n), **cols)
+            keys.append(key[new])
+            refs.append(row[new] + docs)
+            ids.append(sig[0])
+            held, docs = held + int(new.sum()), docs + len(n)
             if held > 750_000:
                 yield from flush()
                 keys, refs, ids, held, docs = [], [], [], 0, 0
@@ -123,10 +141,9 @@ def _scan(words: int, bits: int, share: float, tokens: bool):
     return run
 
 
-def _count(bits: int, heavy: int):
-    """For a bucket: per set the number of its keys that another set has too (kind 0); keys that at
-    least ``heavy`` sets have (kind 1, when asked for)."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("val", pa.int32())])
+def _count(bits: int, classes: bool):
+    """For a bucket: per set the number of its keys that another set has too and, with ``classes``, its
+    frequent keys, each with its class above the key's bits."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -139,74 +156,109 @@ def _count(bits: int, heavy: int):
         rest, ids = rest[keep], ids[keep]
         at = T.starts_of(rest)
         size = np.diff(np.append(at, len(rest)))
-        who, shared = np.unique(ids[np.repeat(size, size) > 1], return_counts=True)
-        big = size >= heavy if heavy else np.zeros(len(size), bool)
-        key = rest[at[big]].astype(np.int64) | (bucket << (KEY_BITS - bits))
-        return pa.table([pa.array(np.concatenate([np.zeros(len(who)), np.ones(len(key))]).astype(np.int32)), pa.array(np.concatenate([who, key])), pa.array(np.concatenate([shared, size[big]]).astype(np.int32))], schema=schema)
+        size = np.repeat(size, size)
+        rest, ids, size = rest[size > 1], ids[size > 1], size[size > 1]
+        order = np.argsort(ids, kind="stable")
+        rest, ids, size = rest[order], ids[order], size[order]
+        edge = np.append(T.starts_of(ids), len(ids))
+        often = [b""] * (len(edge) - 1)
+        if classes:
+            level = np.zeros(len(size), np.int64)
+            for k in range(1, MOST_TOGETHER):
+                level += size >= FREQUENT**k
+            word = rest.astype(np.int64) | (bucket << (KEY_BITS - bits)) | (level << KEY_BITS)
+            often = [w[w >> KEY_BITS > 0].tobytes() for w in np.split(word, edge[1:-1])] if len(word) else often
+        return pa.table([pa.array(ids[edge[:-1]]), pa.array(np.diff(edge).astype(np.int32)), pa.array(often, pa.binary())], schema=_COUNT_ARROW)
 
     return run
 
 
-def _signatures(heavy: np.ndarray, num: int, den: int):
-    """Rows (s, id, n, shared) of one document's signatures; see the module's text."""
+@cache
+def _choose(m: int, k: int) -> np.ndarray:
+    """All ways to take k of m, in order."""
+    return np.array(list(combinations(range(m), k)), np.int64).reshape(-1, k)
+
+
+def _combined(toks: np.ndarray, cell: np.ndarray, k: int, salt: int) -> Iterator[np.ndarray]:
+    """Hashes of the k-shingle combinations of each cell; ``toks`` in one order in every set."""
+    order = np.argsort(cell, kind="stable")
+    toks = toks[order]
+    at = T.starts_of(cell[order])
+    size = np.diff(np.append(at, len(toks)))
+    for m in np.unique(size).tolist():
+        if m >= k:
+            block = toks[at[size == m][:, None] + np.arange(m)]
+            h = np.full((len(block), len(_choose(m, k))), _U(salt))
+            for j in range(k):
+                h = T.mix(h * _U(3) + block[:, _choose(m, k)[:, j]])
+            yield h.ravel()
+
+
+def _signatures(num: int, den: int):
+    """Rows (s, id, n, shared) of the sets' signatures; see the module's text."""
     band = math.log(den / num)
-    schema = pa.schema([("s", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("shared", pa.int32())])
+    schema = pa.schema([("s", pa.int64()), ("id", pa.binary()), ("n", pa.int32()), ("shared", pa.int32())])
 
-    def of(g: np.ndarray) -> np.ndarray:
+    def of(g: np.ndarray, often: np.ndarray) -> np.ndarray:
         n = len(g)
         need = n - (num * n + den - 1) // den + 1
-        hot = np.isin(g >> _U(64 - KEY_BITS), heavy, assume_unique=True) if len(heavy) else np.zeros(n, bool)
-        rare, often = g[~hot], g[hot]
+        level = np.zeros(n, np.int64)
+        if len(often):
+            order = np.argsort(often & ((1 << KEY_BITS) - 1))
+            keys, levels = (often & ((1 << KEY_BITS) - 1))[order], (often >> KEY_BITS)[order]
+            own = (g >> _U(64 - KEY_BITS)).astype(np.int64)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            level = np.where(keys[at] == own, levels[at], 0)
+        rare = g[level == 0]
         out = [rare[:need]]
         if len(rare) < need and n > 1:
             j = int(math.log(n) / band + 1e-9)
+            order = np.argsort(level, kind="stable")[len(rare):]
+            toks, kinds = g[order], level[order]
             for b in (j, j + 1):
-                cells = max(1, int(math.exp(band * b) / 8))
-                cell = (T.mix(often) % _U(cells)).astype(np.int64)
-                order = np.argsort(cell, kind="stable")
-                first = np.ones(len(often), bool)  # the first of its cell adds no evidence
-                first[order] = np.concatenate([[True], np.diff(cell[order]) != 0])
-                m = int(np.searchsorted(np.cumsum(~first), need - len(rare), "left")) + 1
-                take, cell = often[:m], cell[:m]
-                order = np.argsort(cell, kind="stable")
-                cell, take = cell[order], take[order]
-                for a, z in T.runs(cell):
-                    if z - a > 1:
-                        x, y = np.triu_indices(z - a, 1)
-                        out.append(T.mix(take[a + x] * _U(3) + T.mix(take[a + y]) + _U(b + 1)))
+                width = math.exp(band * b)
+                k_of = np.ones_like(kinds) if width < SMALL else kinds  # k - 1
+                cells = np.maximum(1, (width / (8 * np.arange(1, MOST_TOGETHER + 1))).astype(np.int64))
+                cell = (T.mix(toks) % cells[k_of - 1].astype(np.uint64)).astype(np.int64) * MOST_TOGETHER + k_of - 1
+                # the first k - 1 of a cell add no evidence
+                by = np.argsort(cell, kind="stable")
+                first = T.starts_of(cell[by])
+                place = np.empty(len(cell), np.int64)
+                place[by] = np.arange(len(cell)) - np.repeat(first, np.diff(np.append(first, len(cell))))
+                m = int(np.searchsorted(np.cumsum(place >= k_of), need - len(rare), "left")) + 1
+                for k in np.unique(k_of[:m]).tolist():
+                    mine = np.flatnonzero(k_of[:m] == k)
+                    out.extend(_combined(toks[mine], cell[mine], k + 1, 8 * (b + 1) + k))
         return np.unique(np.concatenate(out))
 
     def run(batches):
         for b in batches:
-            toks, ids, shared = b.column("toks"), b.column("id").to_numpy(), b.column("shared").to_numpy()
+            ids, shared = b.column("id"), b.column("shared").to_numpy()
             got, size, ns = [], [], []
-            for k, t in enumerate(toks):
-                g = np.frombuffer(t.as_py(), np.uint64)
-                got.append(of(g))
+            for i, (t, o) in enumerate(zip(b.column("toks"), b.column("often"), strict=True)):
+                g = np.frombuffer(t.as_buffer(), np.uint64)
+                got.append(of(g, np.frombuffer(b"".join(o.as_py()), np.int64)))
                 size.append(len(got[-1]))
                 ns.append(len(g))
-                if sum(size) > 500_000 or k == len(ids) - 1:
-                    lo = k + 1 - len(size)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).astype(np.int64)), pa.array(np.repeat(ids[lo: k + 1], size)), pa.array(np.repeat(np.array(ns, np.int32), size)), pa.array(np.repeat(shared[lo: k + 1], size).astype(np.int32))], schema=schema)
+                if sum(size) > 500_000 or i == len(ids) - 1:
+                    lo = i + 1 - len(size)
+                    at = np.repeat(np.arange(lo, i + 1), size)
+                    cols = [pa.array(np.concatenate(got).astype(np.int64)), ids.take(pa.array(at)), pa.array(np.array(ns, np.int32)[at - lo]), pa.array(shared[at].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, schema=schema)
                     got, size, ns = [], [], []
 
     return run
 
 
-def _bitmaps(batches):
-    """Each set as MAP_WORDS x 64 bits, one bit a shingle."""
-    for b in batches:
-        out = np.zeros((b.num_rows, MAP_WORDS), np.uint64)
-        for k, t in enumerate(b.column("toks")):
-            bit = T.mix(np.frombuffer(t.as_buffer(), np.uint64)) % _U(64 * MAP_WORDS)
-            np.bitwise_or.at(out[k], (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
-        out = out.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(out[:, i]) for i in range(MAP_WORDS))], names=["id", *(f"b{i}" for i in range(MAP_WORDS))])
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sets, ta and tb."""
+    b = sets.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
+    a = sets.select(F.col("id").alias("a"), F.col("toks").alias("ta"))
+    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by exact intersection of the whole sets."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for t in batches:
@@ -214,76 +266,150 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             for x, y in zip(t.column("ta"), t.column("tb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(x) + len(y)
-                same = both - len(np.unique(np.concatenate([x, y]))) if min(len(x), len(y)) * den >= num * max(len(x), len(y)) else 0
+                fits = min(len(x), len(y)) * den >= num * max(len(x), len(y))
+                same = both - len(np.unique(np.concatenate([x, y]))) if fits else 0
                 keep.append(same > 0 and same * den >= num * (both - same))
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(pa.array(keep)), t.column("b").filter(pa.array(keep))], schema=schema)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
-    b = sets.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
-    a = sets.select(F.col("id").alias("a"), F.col("toks").alias("ta"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return _with_sets(pairs, sets).mapInArrow(run, "a binary, b binary")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """For each (pivot a, set b): whether they link, the sizes of b and of the difference, how many of its
+    rarest entries suffice against any set (``short``) or against linked ones (``long``), and the entries."""
+
+    def run(batches):
+        for t in batches:
+            out = []
+            for x, y in zip(t.column("ta"), t.column("tb"), strict=True):
+                r, s = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                d = np.setxor1d(r, s, assume_unique=True)
+                m, n = len(d), len(s)
+                same = (len(r) + n - m) // 2
+                link = same > 0 and same * den >= num * (len(r) + n - same)
+                half = -((-(m * (den + num) + (den - num) * (len(r) - n))) // (2 * (den + num)))  # rounded up
+                far = m - n * (den - num) // num
+                out.append((link, n, m, m - max(1, half, far) + 1, m - max(1, far) + 1, d.tobytes()))
+            kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            cols = [t.column("a"), t.column("b")] + [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(cols, names=["r", "id", "link", "n", "m", "short", "long", "diff"])
+
+    return _with_sets(pairs, sets).mapInArrow(run, "r binary, id binary, link boolean, n int, m int, short int, long int, diff binary")
+
+
+def _entries(batches):
+    """A row for each entry of a difference."""
+    for b in batches:
+        size = [len(x.as_buffer()) // 8 for x in b.column("diff")]
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            at = pa.array(np.repeat(np.arange(part.num_rows), size[lo: lo + 256]))
+            entry = np.frombuffer(b"".join(x.as_py() for x in part.column("diff")), np.int64)
+            cols = [part.column(i).take(at) for i in range(part.num_columns) if part.schema.field(i).name != "diff"]
+            names = [f.name for f in part.schema if f.name != "diff"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(entry)], names=[*names, "entry"])
+
+
+def _across(diffs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share a prefix entry of their differences."""
+    cols = "r binary, id binary, link boolean, n int, m int, short int, long int, c binary, entry long"
+    rows = diffs.mapInArrow(_entries, cols)
+    often = rows.groupBy("r", "entry").agg(F.count("*").alias("sets"))
+    order = Window.partitionBy("r", "id").orderBy("sets", "entry")  # the entries of one set
+    rows = rows.join(often, ["r", "entry"]).withColumn("rank", F.row_number().over(order))
+    x = rows.where("rank <= short").alias("x")
+    y = rows.where("NOT link AND rank <= long").alias("y")
+    fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {den + num} * abs(x.m - y.m) <= {den - num} * (x.n + y.n)"
+    pairs = x.join(y, ["r", "entry"]).where(f"x.c <> y.c AND {fits} AND (x.link OR (y.rank <= y.short AND x.id < y.id))")
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _links(sig: DataFrame, sets: DataFrame, st: Stage, num: int, den: int) -> DataFrame | None:
+    """``(node, component)`` of the sets that are linked, or None if none are."""
+    links, comp = None, None
+
+    def add(found: DataFrame, name: str):
+        nonlocal links, comp
+        found = st.put(found, name)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comp = components(links, st, f"cc-{name}")
+
+    def placed(df: DataFrame) -> DataFrame:
+        if comp is None:
+            return df.withColumn("c", F.col("id"))
+        return df.join(comp, df.id == comp.node, "left").select(*[df[c] for c in df.columns], F.coalesce("component", "id").alias("c"))
+
+    # 1. each set with the pivot of most of its signatures
+    star = F.min(F.struct("id", "n", "shared"))
+    stars = sig.groupBy("s").agg(star.alias("y"), F.count("*").alias("sets")).where("sets > 1").select("s", "y")
+    fits = f"{num + den} * least(x.shared, y.shared) >= {num} * (x.n + y.n) AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
+    met = sig.alias("x").join(stars, "s").where(f"x.id <> y.id AND {fits}").groupBy("x.id", F.col("y.id").alias("sid")).count()
+    met = met.groupBy("id").agg(F.max_by("sid", F.struct("count", "sid")).alias("sid"))
+    add(_verify(met.select(F.col("sid").alias("a"), F.col("id").alias("b")), sets, num, den), "stars")
+
+    # 2. signatures of several components, those with the same sets once
+    at = st.put(placed(sig.select("s", "id")), "placed")
+    groups = at.groupBy("s").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("c", "id")).alias("pivot"), F.count("*").alias("sets"),
+        F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("h2")).where("lo <> hi")
+    groups = groups.groupBy("h1", "h2", "sets").agg(F.min_by(F.struct("s", "pivot.id"), "s").alias("g")).select("g.s", F.col("g.id").alias("r"))
+    pairs = at.join(groups, "s").where("id <> r").select(F.col("r").alias("a"), F.col("id").alias("b")).distinct()
+    diffs = st.put(_differences(pairs, sets, num, den), "diffs")
+    add(diffs.where("link").select(F.col("r").alias("a"), F.col("id").alias("b")), "pivots")
+    diffs = placed(diffs)
+    some = diffs.groupBy("r").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("r")
+    diffs = st.put(diffs.join(some, "r", "left_semi").select("r", "id", "link", "n", "m", "short", "long", "c", "diff"), "open")
+    add(_verify(st.put(_across(diffs, num, den), "across"), sets, num, den), "rest")
+    return comp
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` under links of Jaccard >= num/den.
 
     Null and empty texts have no shingles and link with nothing; a text with fewer than ``words`` words
-    is one shingle.  Repeated rows of a doc_id count once each in the result and share a class if equal.
-    Other columns are ignored, so clashing names do no harm; an empty table gives an empty result.
-    ``1 - num/den`` must be below the counted share of the hash space.
+    is one shingle.  Rows that repeat a doc_id are judged row by row, each by its own text: equal ones are
+    one class, unlike ones may end in different components.  Rows without a doc_id are in the class of the
+    rows with an equal set and link through those only (null if there are none).  Other columns are ignored, so clashing
+    names do no harm; an empty table gives an empty result.  ``1 - num/den`` must be below the counted
+    share of the hash space.
     """
     spark = docs.sparkSession
     st = Stage(spark, "jaccard")
     bits = max(8, (4 * partitions(spark) - 1).bit_length())
     src = plain_docs(docs)
     scan = st.put(src.mapInArrow(_scan(words, bits, SAMPLE, False), _SCAN).drop("toks"), "scan", "kind")
-    meta = scan.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "seen")
+    meta = scan.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "sig2", "seen")
     blobs = scan.where("kind = 1").select("bucket", "blob")
-    shared = blobs.groupBy("bucket").applyInArrow(_count(bits, 0), _COUNT).groupBy(F.col("key").alias("sig")).agg(F.sum("val").alias("shared"))
-    classes = st.put(meta.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("seen").alias("seen"), F.count("*").alias("rows")), "classes")  # apart from the count, a large class can be split in joins
-    may = classes.join(shared, "sig", "left").where(F.lit(den) * (F.col("n") - F.col("seen") + F.coalesce("shared", F.lit(0))) >= F.lit(num) * F.col("n"))
-    may = st.put(may.where("n > 1").select(F.col("id").alias("doc_id")), "may")
-    full = st.put(restrict(src, may, "doc_id", 16).dropDuplicates(["doc_id"]).mapInArrow(_scan(words, bits, 1.0, True), _SCAN), "full", "kind")
-    counts = st.put(full.where("kind = 1").groupBy("bucket").applyInArrow(_count(bits, HEAVY_LEAST), _COUNT), "counts")
-    steps = counts.where("kind = 1").groupBy(F.floor(F.log2("val")).cast("int").alias("p")).count().collect()  # 31 rows at most
-    level, held = 31, 0
-    for p, c in sorted(((r["p"], r["count"]) for r in steps), reverse=True):
-        if held + c > HEAVY_MOST:
-            break
-        level, held = p, held + c
-    heavy = counts.where((F.col("kind") == 1) & (F.col("val") >= F.lit(2**level).cast("long"))).select("key")  # HEAVY_MOST at most
-    heavy = np.sort(heavy.toArrow()["key"].to_numpy()).astype(np.uint64)
-    both = counts.where("kind = 0").groupBy(F.col("key").alias("id")).agg(F.sum("val").cast("int").alias("shared"))
-    sets = full.where("kind = 0").select("id", "n", "toks").join(both, "id").where(F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n"))
-    sets = st.put(sets, "sets")
-    st.drop("full", "counts")
-    sig = st.put(sets.mapInArrow(_signatures(heavy, num, den), "s long, id long, n int, shared int"), "sig")
-
-    comp, links = None, None
-    for k in range(STAR_ROUNDS + 1):
-        at = sig.join(comp, sig.id == comp.node, "left").select("s", "id", "n", "shared", F.coalesce("component", "id").alias("c")) if comp is not None else sig.withColumn("c", F.col("id"))
-        groups = at.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("c", "id", "n", "shared")).alias("star")).where("lo <> hi")
-        fits = f"{num + den} * least(x.shared, y.shared) >= {num} * (x.n + y.n) AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
-        if k < STAR_ROUNDS:
-            pairs = at.alias("x").join(groups.select("s", F.col("star.id").alias("sid"), F.col("star.c").alias("sc"), F.struct(F.col("star.n").alias("n"), F.col("star.shared").alias("shared")).alias("y")), "s").where(f"sc <> c AND {fits}")
-            pairs = pairs.groupBy("x.id", "sid").count().groupBy("id").agg(F.max_by("sid", F.struct("count", -F.col("sid"))).alias("sid"))
-            pairs = pairs.select(F.least("id", "sid").alias("a"), F.greatest("id", "sid").alias("b")).distinct()
-        else:
-            rest = at.join(groups.select("s"), "s", "left_semi")
-            maps = sets.select("id", "toks").mapInArrow(_bitmaps, "id long, " + ", ".join(f"b{i} long" for i in range(MAP_WORDS)))
-            rest = st.put(rest.join(maps, "id"), "rest")
-            lack = {p: " + ".join(f"bit_count({p[0]}.b{i} & ~{p[1]}.b{i})" for i in range(MAP_WORDS)) for p in ("xy", "yx")}
-            fits += "".join(f" AND {num + den} * ({p[0]}.n - ({m})) >= {num} * (x.n + y.n)" for p, m in lack.items())
-            pairs = rest.alias("x").join(rest.alias("y"), "s").where(f"x.c < y.c AND {fits}")
-            pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        found = st.put(_verify(pairs, sets, num, den), f"links-{k}")
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            continue
-        comp = components(links, st, f"cc{k}")
-    st.drop("sig", "sets")
-    out = meta.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig")
-    own = classes.select("sig", "id", "rows")
-    if comp is not None:
-        own = own.join(comp, own.id == comp.node, "left").select("sig", F.coalesce("component", "id").alias("id"), F.when(F.col("component") < F.col("id"), 2).otherwise(F.col("rows")).alias("rows"))
-    own = st.put(own.where("rows > 1").select("sig", "id"), "own")  # other documents are their own component
-    return join_checked(out, own, "sig", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
+    shared = blobs.groupBy("bucket").applyInArrow(_count(bits, False), _COUNT).groupBy("sig").agg(F.sum("shared").alias("shared"))
+    classes = meta.where("n > 0").groupBy("sig", "sig2").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("seen").alias("seen"), F.count("*").alias("rows"))
+    classes = st.put(classes, "classes")  # apart from the count, a large class can be split in joins
+    may = classes.join(shared, "sig", "left")
+    may = may.where(F.lit(den) * (F.col("n") - F.col("seen") + F.coalesce("shared", F.lit(0))) >= F.lit(num) * F.col("n"))
+    may = st.put(may.where("n > 1 AND doc_id IS NOT NULL").select("doc_id", "sig", "sig2"), "may")
+    named = st.put(may.select("doc_id").distinct(), "named")
+    full = st.put(restrict(src, named, "doc_id", 16).mapInArrow(_scan(words, bits, 1.0, True), _SCAN), "full", "kind")
+    counts = full.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(_count(bits, True), _COUNT)
+    counts = counts.groupBy("sig").agg(F.sum("shared").cast("int").alias("shared"), F.collect_list("often").alias("often"))
+    sets = full.where("kind = 0").select("sig", "sig2", "n", "seen", "toks").join(counts, "sig").withColumn("shared", F.col("shared") + F.col("n") - F.col("seen"))
+    sets = sets.where(F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n")).dropDuplicates(["sig", "sig2"])
+    name = F.unhex(F.concat(F.lpad(F.hex("sig"), 16, "0"), F.lpad(F.hex("sig2"), 16, "0")))
+    sets = st.put(sets.select(name.alias("id"), "n", "shared", "often", "toks"), "sets")
+    st.drop("full")
+    sig = st.put(sets.mapInArrow(_signatures(num, den), "s long, id binary, n int, shared int"), "sig")
+    comp = _links(sig, sets, st, num, den)
+    st.drop("sig", "sets", "placed", "diffs", "open")
+
+    own = classes.withColumn("node", name)
+    if comp is None:
+        own = own.select("sig", "sig2", F.col("doc_id").alias("least"), "rows")
+    else:
+        own = own.join(comp, "node", "left")
+        least = own.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+        own = own.join(least, "component", "left").select(
+            "sig", "sig2", F.coalesce("least", "doc_id").alias("least"), F.when(F.col("component").isNull(), F.col("rows")).otherwise(2).alias("rows"))
+    own = st.put(own.where("rows > 1").select("sig", "sig2", "least"), "own")  # other documents are their own component
+    out = join_checked(meta.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", "sig2"), own, ["sig", "sig2"], "left", 32)
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

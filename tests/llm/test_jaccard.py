@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronoweave.llm import jaccard
@@ -48,32 +49,70 @@ def test_against_all_pairs(spark, seed):
     assert result(jaccard.jaccard_components(docs(spark, pairs))) == brute(pairs)
 
 
-def test_frequent_shingles_use_combinations(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "HEAVY_LEAST", 2)
-    pairs = copies(3, groups=3, each=14, words=40, edits=6)
+@pytest.mark.parametrize("frequent", [2, 3])
+def test_frequent_shingles_use_combinations(spark, monkeypatch, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)  # so that classes of two to four shingles occur
+    monkeypatch.setattr(jaccard, "SMALL", 16)
+    pairs = copies(3, groups=3, each=14, words=60, edits=6)
     assert result(jaccard.jaccard_components(docs(spark, pairs))) == brute(pairs)
 
 
-def test_signatures_never_miss_a_link():
+def test_copies_around_a_pivot(spark):
+    """Copies near and just beyond the threshold from one text and from each other, linked only in part."""
+    r, pairs = random.Random(11), []
+    base = [f"w{i}" for i in range(150)]
+    for i in range(60):
+        t = list(base)
+        for k in r.sample(range(0, 150, 5), r.choice([1, 2, 3, 4, 5])):
+            t[k] = f"e{r.randrange(3)}" if r.random() < 0.5 else f"x{r.randrange(10**6)}"
+        pairs.append((i + 1, " ".join(t)))
+    for i in range(20):  # second generation: copies of copies
+        t = pairs[r.randrange(60)][1].split()
+        for k in r.sample(range(150), 2):
+            t[k] = f"y{r.randrange(10**6)}"
+        pairs.append((100 + i, " ".join(t)))
+    assert result(jaccard.jaccard_components(docs(spark, pairs))) == brute(pairs)
+
+
+def test_signatures_never_miss_a_link(monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 60)
     r = random.Random(5)
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        n = r.randrange(2, 120)
+    linked = 0
+    for _ in range(200):
+        n = r.randrange(2, 400)
         pool = np.unique(rng.integers(0, 2**63, 3 * n, dtype=np.uint64))
         x = np.sort(rng.choice(pool, n, replace=False))
         drop = r.randrange(0, max(1, n // 9) + 1)
         y = np.unique(np.concatenate([rng.choice(x, n - drop, replace=False), rng.choice(pool, drop)]))
         same = len(np.intersect1d(x, y))
-        heavy = np.unique(rng.choice(pool, r.randrange(0, len(pool)), replace=False) >> np.uint64(64 - jaccard.KEY_BITS))
-        import pyarrow as pa
-
-        b = pa.RecordBatch.from_arrays([pa.array([x.tobytes(), y.tobytes()], pa.binary()), pa.array([1, 2]), pa.array([n, n], pa.int32())], names=["toks", "id", "shared"])
-        sig = {1: set(), 2: set()}
-        for o in jaccard._signatures(heavy, 80, 100)([b]):
+        keys = np.unique(rng.choice(pool, r.randrange(0, len(pool)), replace=False) >> np.uint64(64 - jaccard.KEY_BITS)).astype(np.int64)
+        often = [(keys | (rng.integers(1, 4, len(keys)) << jaccard.KEY_BITS)).tobytes()]
+        b = pa.RecordBatch.from_arrays([pa.array([x.tobytes(), y.tobytes()], pa.binary()), pa.array([b"1", b"2"], pa.binary()), pa.array([n, n], pa.int32()), pa.array([often, often], pa.list_(pa.binary()))], names=["toks", "id", "shared", "often"])
+        sig = {b"1": set(), b"2": set()}
+        for o in jaccard._signatures(80, 100)([b]):
             for s, i in zip(o.column("s").to_pylist(), o.column("id").to_pylist(), strict=True):
                 sig[i].add(s)
         if 100 * same >= 80 * (len(x) + len(y) - same):
-            assert sig[1] & sig[2]
+            linked += 1
+            assert sig[b"1"] & sig[b"2"]
+    assert linked > 50
+
+
+def test_words_of_one_polynomial_value_differ(spark):
+    """Thue-Morse words over a and b: equal under any polynomial hash modulo a power of two."""
+    x = "ab"
+    for _ in range(10):
+        x += x.translate({97: 98, 98: 97})
+    y = x.translate({97: 98, 98: 97})
+    assert result(jaccard.jaccard_components(docs(spark, [(1, x), (2, y), (3, y)]))) == {(1, 1, 1), (2, 1, 2), (3, 1, 2)}
+
+
+def test_unlike_texts_of_one_document(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (3, b)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, rows)).collect())
+    assert got == [(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 36, 1), (3, 37, 1)]
 
 
 def test_edges(spark):
