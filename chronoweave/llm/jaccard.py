@@ -12,11 +12,13 @@ so combinations stay linear in it; a length band and the next name the cells, as
 Before that, sets that cannot have any partner are dropped: a third of the hash space is counted, and a
 set with more unshared shingles there than it may miss has none.  Equal sets are one class throughout.
 
-Verification.  Sets that share a signature meet through its pivot, the least of them, never pairwise.
-1. Each set is verified against the pivot that it shares most signatures with; links form components.
-2. Where a signature still joins several components, its sets are written as differences from the pivot
-   (one intersection each, which also finds direct links).  What all have in common is gone from them,
-   so prefixes of the differences, rare first, are short and selective: two sets x, y of which y is not
+Verification.
+1. Each set is verified against the pivot, the least set of a signature, that it shares most signatures
+   with; links form components.
+2. Where a signature still joins several components and has at most TOGETHER sets, those are paired.
+3. Larger groups are never paired: their prefixes are extended until what meets is small.  Their sets are
+   written as differences from the pivot (one intersection each, which also finds direct links).  What all have in common is gone from them,
+   so prefixes of the differences, own shingles first, are short and selective: two sets x, y of which y is not
    linked with the pivot r share more than ``(|x ^ r| + k (|r| - |x|)) / 2`` differences, with
    ``k = (1 - t) / (1 + t)``, or they are no link.  Sets of different components that share a prefix
    difference are verified by exact intersection.
@@ -31,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -43,6 +45,7 @@ SAMPLE = 0.35  # share of the hash space that the first count covers; above 1 -
 FREQUENT = 32  # sets that make a shingle frequent; each further power of it raises k by one
 MOST_TOGETHER = 4  # shingles in a combination, at most
 KEY_BITS = 40  # counts are kept by this many leading bits of a hash; clashes only weaken the filter
+TOGETHER = 16  # sets of one signature that are paired; more of them are told apart by their differences
 SMALL = 128  # sets of this size and less use one class and pairs, as their cells hold too little
 
 _SCAN_ARROW = pa.schema([
@@ -277,7 +280,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """For each (pivot a, set b): whether they link, the sizes of b and of the difference, how many of its
-    rarest entries suffice against any set (``short``) or against linked ones (``long``), and the entries."""
+    first entries suffice against any set (``short``) or against linked ones (``long``), and the entries."""
 
     def run(batches):
         for t in batches:
@@ -285,12 +288,14 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             for x, y in zip(t.column("ta"), t.column("tb"), strict=True):
                 r, s = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 d = np.setxor1d(r, s, assume_unique=True)
+                lack = np.isin(d, r, assume_unique=True)
                 m, n = len(d), len(s)
                 same = (len(r) + n - m) // 2
                 link = same > 0 and same * den >= num * (len(r) + n - same)
                 half = -((-(m * (den + num) + (den - num) * (len(r) - n))) // (2 * (den + num)))  # rounded up
                 far = m - n * (den - num) // num
-                out.append((link, n, m, m - max(1, half, far) + 1, m - max(1, far) + 1, d.tobytes()))
+                d = np.concatenate([d[~lack], d[lack]])  # what the set has of its own is rarer than what it lacks
+                out.append((link, n, m, m - max(1, half, far) + 1, m - max(1, far) + 1, d[: m - max(1, far) + 1].tobytes()))
             kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             cols = [t.column("a"), t.column("b")] + [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, names=["r", "id", "link", "n", "m", "short", "long", "diff"])
@@ -299,29 +304,38 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
 
 def _entries(batches):
-    """A row for each entry of a difference."""
+    """A row for each entry of a difference, numbered from 1."""
     for b in batches:
-        size = [len(x.as_buffer()) // 8 for x in b.column("diff")]
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
-            at = pa.array(np.repeat(np.arange(part.num_rows), size[lo: lo + 256]))
-            entry = np.frombuffer(b"".join(x.as_py() for x in part.column("diff")), np.int64)
-            cols = [part.column(i).take(at) for i in range(part.num_columns) if part.schema.field(i).name != "diff"]
+            at = part.schema.get_field_index("diff")
+            size = np.array([len(x.as_buffer()) // 8 for x in part.column(at)])
+            row = np.repeat(np.arange(part.num_rows), size)
+            entry = np.frombuffer(b"".join(x.as_py() for x in part.column(at)), np.int64)
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1
+            cols = [part.column(i).take(pa.array(row)) for i in range(part.num_columns) if i != at]
             names = [f.name for f in part.schema if f.name != "diff"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(entry)], names=[*names, "entry"])
-
-
-def _across(diffs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share a prefix entry of their differences."""
-    cols = "r binary, id binary, link boolean, n int, m int, short int, long int, c binary, entry long"
-    rows = diffs.mapInArrow(_entries, cols)
-    often = rows.groupBy("r", "entry").agg(F.count("*").alias("sets"))
-    order = Window.partitionBy("r", "id").orderBy("sets", "entry")  # the entries of one set
-    rows = rows.join(often, ["r", "entry"]).withColumn("rank", F.row_number().over(order))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(entry), pa.array(rank.astype(np.int32))], names=[*names, "entry", "rank"])
+
+
+def _across(diffs: DataFrame, hubs: DataFrame, placed, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a prefix entry of their differences from a pivot: one in the
+    pivot's component and one not, or both in none; components as before ``placed`` names them anew."""
+    of = hubs.select(F.col("hub").alias("r"), F.col("c").alias("of"))
+    rows = placed(diffs.withColumnRenamed("c", "was").join(of, "r", "left"))
+    rows = rows.withColumn("role", F.when(F.col("was") == F.col("of"), 0).when(F.col("was") == F.col("id"), 1).otherwise(2))
+    # beyond the largest difference of the component, the whole of what may differ is exceeded
+    most = rows.groupBy("r").agg(F.coalesce(F.max(F.when(F.col("role") == 0, F.col("m"))), F.lit(0)).alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    rows = rows.join(most.where("lo <> hi"), "r").withColumn("near", F.expr(f"m - most <= n * {den - num} / {num}"))
+    rows = rows.where("role = 0 OR role = 1 OR near")
+    cols = ["r", "id", "n", "m", "short", "long", "c", "role", "near"]
+    kinds = "r binary, id binary, n int, m int, short int, long int, c binary, role int, near boolean"
+    rows = rows.select(*cols, "diff").mapInArrow(_entries, f"{kinds}, entry long, rank int")
     x = rows.where("rank <= short").alias("x")
-    y = rows.where("NOT link AND rank <= long").alias("y")
+    y = rows.where("role > 0 AND (near AND rank <= long OR role = 1 AND rank <= short)").alias("y")
     fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {den + num} * abs(x.m - y.m) <= {den - num} * (x.n + y.n)"
-    pairs = x.join(y, ["r", "entry"]).where(f"x.c <> y.c AND {fits} AND (x.link OR (y.rank <= y.short AND x.id < y.id))")
+    roles = "(x.role = 0 AND y.near OR x.role = 1 AND y.role = 1 AND y.rank <= y.short AND x.id < y.id)"
+    pairs = x.join(y, ["r", "entry"]).where(f"x.c <> y.c AND {roles} AND {fits}")
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -350,18 +364,40 @@ def _links(sig: DataFrame, sets: DataFrame, st: Stage, num: int, den: int) -> Da
     add(_verify(met.select(F.col("sid").alias("a"), F.col("id").alias("b")), sets, num, den), "stars")
 
     # 2. signatures of several components, those with the same sets once
-    at = st.put(placed(sig.select("s", "id")), "placed")
+    at = st.put(placed(sig), "placed")
     groups = at.groupBy("s").agg(
         F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("c", "id")).alias("pivot"), F.count("*").alias("sets"),
         F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("h2")).where("lo <> hi")
-    groups = groups.groupBy("h1", "h2", "sets").agg(F.min_by(F.struct("s", "pivot.id"), "s").alias("g")).select("g.s", F.col("g.id").alias("r"))
-    pairs = at.join(groups, "s").where("id <> r").select(F.col("r").alias("a"), F.col("id").alias("b")).distinct()
+    groups = groups.groupBy("h1", "h2", "sets").agg(F.min_by(F.struct("s", "pivot.id"), "s").alias("g"))
+    groups = st.put(groups.select("g.s", F.col("g.id").alias("r"), "sets"), "groups")
+    few = at.join(groups.where(F.col("sets") <= TOGETHER).select("s"), "s").groupBy("s").agg(F.collect_list(F.struct("id", "c", "n", "shared")).alias("all"))
+    few = few.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr(f"slice(all, i + 2, {TOGETHER})")).alias("y"))
+    few = few.where(f"x.c <> y.c AND {fits}").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    add(_verify(st.put(few, "few"), sets, num, den), "small")
+
+    # 3. larger ones by differences from their pivots, the hubs of components
+    many = placed(at.drop("c").join(groups.where(F.col("sets") > TOGETHER).select("s"), "s"))
+    if links is None:
+        hubs = many.select("c", F.col("id").alias("hub"), F.lit(0).cast("long").alias("size")).limit(0)
+    else:
+        degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").count()
+        hubs = degree.join(comp, "node").groupBy(F.col("component").alias("c")).agg(F.max(F.struct("count", "node")).alias("h"), F.count("*").alias("size"))
+        hubs = hubs.select("c", F.col("h.node").alias("hub"), "size")
+    many = many.join(st.put(hubs, "hubs"), "c", "left").withColumn("h", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("hub", "id").alias("hub")))
+    many = st.put(many.select("s", "id", "c", "h"), "many")
+    met = st.put(many.select("s", "c", "h").distinct(), "met")
+    # of two components the smaller one's sets meet the larger one's hub; sets of no component meet the largest hub
+    other = met.where("h.size > 1").select("s", F.col("c").alias("of"), F.col("h").alias("g"))
+    to = met.join(other, "s").where("g > h").select(F.col("g.hub").alias("r"), "of", "c").distinct()
+    own = met.where("h.size > 1").select(F.col("h.hub").alias("r"), F.col("c").alias("of"), "c").distinct()
+    nodes = st.put(many.select("id", "c").distinct(), "nodes")
+    alone = many.where("h.size = 1").select("s", "id", "c").join(met.groupBy("s").agg(F.max("h").alias("h")), "s")
+    alone = alone.select(F.col("h.hub").alias("r"), F.col("c").alias("of"), "id").distinct()
+    wide = st.put(to.unionByName(own), "wide").join(nodes, "c").select("r", "of", "id")
+    pairs = wide.unionByName(alone).where("id <> r").select(F.col("r").alias("a"), F.col("id").alias("b")).distinct()
     diffs = st.put(_differences(pairs, sets, num, den), "diffs")
     add(diffs.where("link").select(F.col("r").alias("a"), F.col("id").alias("b")), "pivots")
-    diffs = placed(diffs)
-    some = diffs.groupBy("r").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("r")
-    diffs = st.put(diffs.join(some, "r", "left_semi").select("r", "id", "link", "n", "m", "short", "long", "c", "diff"), "open")
-    add(_verify(st.put(_across(diffs, num, den), "across"), sets, num, den), "rest")
+    add(_verify(st.put(_across(diffs.join(nodes, "id"), hubs, placed, num, den), "across"), sets, num, den), "rest")
     return comp
 
 
@@ -393,14 +429,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     full = st.put(restrict(src, named, "doc_id", 16).mapInArrow(_scan(words, bits, 1.0, True), _SCAN), "full", "kind")
     counts = full.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(_count(bits, True), _COUNT)
     counts = counts.groupBy("sig").agg(F.sum("shared").cast("int").alias("shared"), F.collect_list("often").alias("often"))
-    sets = full.where("kind = 0").select("sig", "sig2", "n", "seen", "toks").join(counts, "sig").withColumn("shared", F.col("shared") + F.col("n") - F.col("seen"))
+    # an id is the class's smallest doc_id and its signature, so that a class of a lower doc_id comes first
+    name = F.unhex(F.concat(F.lpad(F.hex("doc_id"), 16, "0"), F.lpad(F.hex("sig"), 16, "0")))
+    sets = may.join(counts, "sig").join(full.where("kind = 0").select("sig", "sig2", "n", "seen", "toks"), ["sig", "sig2"])
+    sets = sets.withColumn("shared", F.col("shared") + F.col("n") - F.col("seen"))
     sets = sets.where(F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n")).dropDuplicates(["sig", "sig2"])
-    name = F.unhex(F.concat(F.lpad(F.hex("sig"), 16, "0"), F.lpad(F.hex("sig2"), 16, "0")))
     sets = st.put(sets.select(name.alias("id"), "n", "shared", "often", "toks"), "sets")
     st.drop("full")
     sig = st.put(sets.mapInArrow(_signatures(num, den), "s long, id binary, n int, shared int"), "sig")
     comp = _links(sig, sets, st, num, den)
-    st.drop("sig", "sets", "placed", "diffs", "open")
+    st.drop("sig", "sets", "placed", "groups", "few", "many", "met", "wide", "diffs", "across")
 
     own = classes.withColumn("node", name)
     if comp is None:

@@ -57,8 +57,10 @@ def test_frequent_shingles_use_combinations(spark, monkeypatch, frequent):
     assert result(jaccard.jaccard_components(docs(spark, pairs))) == brute(pairs)
 
 
-def test_copies_around_a_pivot(spark):
+@pytest.mark.parametrize("together", [1, 16])
+def test_copies_around_a_pivot(spark, monkeypatch, together):
     """Copies near and just beyond the threshold from one text and from each other, linked only in part."""
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
     r, pairs = random.Random(11), []
     base = [f"w{i}" for i in range(150)]
     for i in range(60):
