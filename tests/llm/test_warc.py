@@ -46,6 +46,23 @@ def test_chunks_and_files(spark, monkeypatch):
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: ") and raw.endswith(b"\r\n\r\n")
 
 
+def test_unlike_payloads_of_one_page(spark):
+    pages = [(7, "u", "AAAA"), (7, "u", "BBBBBB"), (9, "u", "AAAA"), (8, "u", "BBBBBB"), (9, "v", "AAAA")]
+    digest = {h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for h in ("AAAA", "BBBBBB")}
+    got = sorted(map(tuple, warc.round_trip(spark.createDataFrame(pages, SCHEMA)).collect()), key=str)
+    assert got == sorted([
+        (7, 4, digest["AAAA"], "revisit", 9), (7, 6, digest["BBBBBB"], "revisit", 8), (8, 6, digest["BBBBBB"], "response", None),
+        (9, 4, digest["AAAA"], "response", None), (9, 4, digest["AAAA"], "response", None)], key=str)
+
+
+def test_lengths_come_from_the_chunks(spark):
+    stage = Stage(spark, "w")
+    chunks = warc.read_archives(warc.write_archives(spark.createDataFrame(PAGES, SCHEMA), stage))
+    short = chunks.where("page_id <> 5 OR chunk > 0")  # a chunk that is lost shows in the length
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.records(short, stage).collect()}
+    assert got[5] == 1_000_000 - warc.CHUNK and got[8] == 4
+
+
 def test_edges(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
     short = warc.round_trip(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], SCHEMA), least=3)
