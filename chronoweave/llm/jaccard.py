@@ -373,7 +373,7 @@ def _links(sig: DataFrame, sets: DataFrame, st: Stage, num: int, den: int) -> Da
     few = at.join(groups.where(F.col("sets") <= TOGETHER).select("s"), "s").groupBy("s").agg(F.collect_list(F.struct("id", "c", "n", "shared")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr(f"slice(all, i + 2, {TOGETHER})")).alias("y"))
     few = few.where(f"x.c <> y.c AND {fits}").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    add(_verify(st.put(few, "few"), sets, num, den), "small")
+    near = st.put(_verify(st.put(few, "few"), sets, num, den), "near")
 
     # 3. larger ones by differences from their pivots, the hubs of components
     many = placed(at.drop("c").join(groups.where(F.col("sets") > TOGETHER).select("s"), "s"))
@@ -396,7 +396,7 @@ def _links(sig: DataFrame, sets: DataFrame, st: Stage, num: int, den: int) -> Da
     wide = st.put(to.unionByName(own), "wide").join(nodes, "c").select("r", "of", "id")
     pairs = wide.unionByName(alone).where("id <> r").select(F.col("r").alias("a"), F.col("id").alias("b")).distinct()
     diffs = st.put(_differences(pairs, sets, num, den), "diffs")
-    add(diffs.where("link").select(F.col("r").alias("a"), F.col("id").alias("b")), "pivots")
+    add(diffs.where("link").select(F.col("r").alias("a"), F.col("id").alias("b")).unionByName(near), "pivots")
     add(_verify(st.put(_across(diffs.join(nodes, "id"), hubs, placed, num, den), "across"), sets, num, den), "rest")
     return comp
 

@@ -41,7 +41,7 @@ def _lines(b: pa.RecordBatch):
     begin = begin[begin < len(buf)]
     edge = np.append(begin, len(buf))
     s, e, first = T.words(buf, edge)
-    h = T.range_hash(T.prefix(buf), s, e)
+    h = T.hashes(buf, s, e)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
     h = np.where(digits[e] > digits[s], _WILD, h)
     row = np.searchsorted(rows, begin, "right") - 1
@@ -89,7 +89,10 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 def _has(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys are in the sorted list, or may be by the bitmap."""
     if known.dtype != np.uint8:
-        return np.isin(keys.astype(np.int64), known)
+        keys = keys.astype(np.int64)
+        if not len(known):
+            return np.zeros(len(keys), bool)
+        return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
     at = keys & _U((1 << MAP_BITS) - 1)
     return (known[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
 
@@ -159,7 +162,7 @@ def _frames(batches):
     """Per document: a hash of its text, and its lines' leaves and sizes."""
     for b in T.slices(batches, most=SLICE):
         buf, rows = T.texts(b.column(b.schema.get_field_index("text")))
-        text = T.range_hash(T.prefix(buf), rows[:-1], rows[1:])
+        text = T.hashes(buf, rows[:-1], rows[1:])
         row, _, leaf, _, first = _lines(b)
         at = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
         cols = [b.column(b.schema.get_field_index("doc_id")), pa.array(text.astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(leaf.astype(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.diff(first).astype(np.int32)))]

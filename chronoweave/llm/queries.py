@@ -139,20 +139,36 @@ f AS (SELECT doc_id, sum(z - a) removed, count(*) spans, min(a) first FROM s GRO
 k AS (SELECT t.doc_id, string_agg(substr(x, 2 * z + 1, 2 * (coalesce(nx, n) - z)), '' ORDER BY a) tail FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
 SELECT d.doc_id, n n_bytes, CAST(coalesce(removed, 0) AS BIGINT) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(CASE WHEN first IS NULL THEN x ELSE substr(x, 1, 2 * first) || tail END)) kept_sha256
 FROM d LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)"""
-#: Lines, leaves, constants, templates and their contexts, as in the operator; "0" stands for masked fields.
+#: Lines, leaves, constants, candidates and the contexts of their runs, as in the operator; "0" stands for masked fields.
 _LINES = """
-WITH x AS (SELECT doc_id, unnest(l) l, generate_subscripts(l, 1) - 1 i, len(l) - 1 last FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents WHERE length(text) > 0)),
-w AS (SELECT doc_id, i, list_transform(list_filter(regexp_split_to_array(l, '[\\x09-\\x0D ]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '0' ELSE t END) w FROM x WHERE NOT (l = '' AND i = last)),
-f AS (SELECT *, len(w) n, len(w) || ' ' || array_to_string(w[1:4], ' ') leaf FROM w),
-c AS (SELECT *, coalesce(lag(leaf) OVER (PARTITION BY doc_id ORDER BY i), '') || '|' || coalesce(lead(leaf) OVER (PARTITION BY doc_id ORDER BY i), '') ctx FROM f),
-h AS (SELECT leaf FROM c WHERE n >= 4 GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
-t AS (SELECT doc_id, i, leaf, ctx, n, pos, w[pos] tok FROM (SELECT *, unnest(range(1, n + 1)) pos FROM c JOIN h USING (leaf) WHERE n >= 4)),
-k AS (SELECT leaf, pos, tok FROM t WHERE tok <> '0' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
-s AS (SELECT doc_id, i, ctx, leaf || '|' || string_agg(pos || ' ' || tok, ' ' ORDER BY pos) tpl FROM t JOIN k USING (leaf, pos, tok) GROUP BY doc_id, i, leaf, ctx, n HAVING count(*) >= 0.6 * n),
-a AS (SELECT tpl FROM s GROUP BY tpl HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT ctx) >= 5 AND count(DISTINCT ctx) >= 0.5 * count(DISTINCT doc_id)),
-g AS (SELECT DISTINCT doc_id, i FROM s JOIN a USING (tpl)),
-r AS (SELECT x.doc_id, count(*) n_lines, count(g.i) n_dropped, string_agg(l, chr(10) ORDER BY x.i) FILTER (g.i IS NULL) kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, sha256(coalesce(kept, '')) kept_sha256 FROM documents d LEFT JOIN r USING (doc_id)"""
+WITH x AS (SELECT doc_id, unnest(l) l, generate_subscripts(l, 1) - 1 i, len(l) - 1 last
+           FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents WHERE length(text) > 0)),
+w AS (SELECT doc_id, i, list_transform(list_filter(regexp_split_to_array(l, '[\\x09-\\x0D ]+'), lambda t: t <> ''),
+                                       lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '0' ELSE t END) w
+      FROM x WHERE NOT (l = '' AND i = last)),
+f AS (SELECT *, len(w) n, CASE WHEN len(w) > 50 THEN 2 ELSE 5 END least, len(w) || ' ' || array_to_string(w[1:2], ' ') leaf FROM w),
+h AS (SELECT leaf FROM f WHERE n >= 4 GROUP BY leaf, least HAVING count(DISTINCT doc_id) >= least),
+t AS (SELECT doc_id, i, leaf, least, n, pos, w[pos] tok FROM (SELECT *, unnest(range(1, n + 1)) pos FROM f JOIN h USING (leaf) WHERE n >= 4)),
+k AS (SELECT leaf, pos, tok FROM t WHERE tok <> '0' GROUP BY leaf, pos, tok, least HAVING count(DISTINCT doc_id) >= least),
+s AS (SELECT doc_id, i, least, leaf || '|' || string_agg(pos || ' ' || tok, ' ' ORDER BY pos) tpl
+      FROM t JOIN k USING (leaf, pos, tok) GROUP BY doc_id, i, leaf, least, n HAVING count(*) >= 0.6 * n),
+a AS (SELECT tpl, least, min(doc_id) first FROM s GROUP BY tpl, least HAVING count(DISTINCT doc_id) >= least),
+c AS (SELECT doc_id, i, tpl, least, first FROM s JOIN a USING (tpl, least)),
+o AS (SELECT f.doc_id, f.i, f.n, f.leaf, c.tpl, CASE WHEN c.tpl IS NULL AND f.n >= 4 THEN f.leaf END own
+      FROM f LEFT JOIN c ON c.doc_id = f.doc_id AND c.i = f.i WHERE f.doc_id IN (SELECT doc_id FROM c)),
+e AS (SELECT doc_id FROM o GROUP BY doc_id HAVING coalesce(sum(n) FILTER (own IS NOT NULL), 0) >= sum(n) / 3),
+r AS (SELECT doc_id, i, tpl,
+             coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|' ||
+             coalesce(first_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ctx
+      FROM o),
+v AS (SELECT tpl, count(DISTINCT d.text) texts, count(DISTINCT ctx) contexts
+      FROM r JOIN e USING (doc_id) JOIN documents d USING (doc_id) WHERE tpl IS NOT NULL GROUP BY tpl),
+g AS (SELECT DISTINCT doc_id, i FROM c JOIN v USING (tpl)
+      WHERE least(texts, contexts) >= least AND contexts >= 0.5 * texts AND (least(texts, contexts) >= 5 OR doc_id <> first)),
+z AS (SELECT x.doc_id, count(*) n_lines, count(g.i) n_dropped, string_agg(l, chr(10) ORDER BY x.i) FILTER (g.i IS NULL) kept
+      FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, sha256(coalesce(kept, '')) kept_sha256
+FROM documents d LEFT JOIN z USING (doc_id)"""
 #: Whole shingle sets, every pair that shares one, and reachability.
 _JACCARD = """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D ]+'), lambda x: x <> '') w FROM documents),
