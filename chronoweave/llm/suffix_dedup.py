@@ -7,11 +7,12 @@
    (at most 81).  All occurrences of a repeated 50-byte string lie in windows of one gram, so buckets of
    grams are independent, and within a bucket equal windows are stored once with their smallest doc_id.
 3. Suffixes.  A bucket's distinct windows are cut into shards; each shard's suffixes are sorted (prefix
-   doubling) and give its Burrows-Wheeler transform; the transforms are merged by interleave refinement:
-   starting from the shards' order by leading symbols, each backward step sorts by one more symbol.  The
-   pass at which neighbours part is their common prefix; blocks that 50 passes leave whole are the
-   repeated intervals.  Suffixes are never sorted again across shards.  Windows that differ from all
-   others of their gram on both sides of it hold no repeat and take no part.
+   doubling) and give its Burrows-Wheeler transform.  The transforms alone are then merged by interleave
+   refinement: leading symbols are read off the transforms' own mappings, the shards' orders, sorted as
+   they are, are merged by them, and each further pass steps backwards through the transforms and refines
+   the interleave by one more symbol.  The pass at which neighbours part is their common prefix; runs with
+   50 common symbols are the repeated intervals.  Suffixes are never sorted again across shards.  Windows
+   that differ from all others of their gram on both sides of it hold no repeat and take no part.
    A gram of more than HOT_TEXTS texts would make one task too large: its strings are told apart by
    128-bit hashes instead, whose smallest doc_id is found by partial sums and a join that can be split.
 4. A start position of a text is a repeat if its interval holds a smaller doc_id; the 50 bytes from
@@ -21,6 +22,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,20 +87,8 @@ def anchors(buf: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray, n
     return pick, full[pick]
 
 
-def _scan_meta(batches):
-    for b in batches:
-        text = b.column(b.schema.get_field_index("text"))
-        sha, size, sig = [], [], []
-        for t in text:
-            d = hashlib.sha256(t.as_buffer() or b"")
-            sha.append(d.hexdigest())
-            sig.append(int.from_bytes(d.digest()[:8], "little", signed=True))
-            size.append(t.as_buffer().size if t.as_buffer() is not None else 0)
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(size, pa.int64()), pa.array(sha), pa.array(sig, pa.int64())], names=["doc_id", "n_bytes", "sha", "sig"])
-
-
 def _post(bits: int):
-    """Distinct gram keys of each text, by bucket; a text is named by the first 8 bytes of its digest."""
+    """Distinct gram keys of each text, by bucket; a text is named by 64 bits of its digest."""
 
     def run(batches):
         keys, refs, ids, held, docs = [], [], [], 0, 0
@@ -121,14 +111,12 @@ def _post(bits: int):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
 
         for b in T.slices(batches):
-            text = b.column(b.schema.get_field_index("text"))
-            buf, rows = T.texts(text)
+            buf, rows = T.texts(b.column(b.schema.get_field_index("text")))
             at, key = anchors(buf, rows, bits)
             row = np.searchsorted(rows, at, "right") - 1
-            sig = [int.from_bytes(hashlib.sha256(t.as_buffer() or b"").digest()[:8], "little", signed=True) for t in text]
             keys.append(key)
             refs.append(row + docs)
-            ids.append(np.array(sig, np.int64))
+            ids.append(b.column(b.schema.get_field_index("sig")).to_numpy())
             held, docs = held + len(key), docs + b.num_rows
             if held > 1_000_000:
                 yield from flush()
@@ -195,10 +183,11 @@ def _hot_strings(bits: int):
             row = np.searchsorted(rows, start, "right") - 1
             ok = start + LENGTH <= rows[row + 1]
             start, row = start[ok], row[ok]
-            doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row]
-            one = T.range_hash(T.prefix(buf), start, start + LENGTH)
-            two = T.range_hash(T.prefix(buf[::-1]), len(buf) - start - LENGTH, len(buf) - start)  # read backwards
-            yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), pa.array(doc), pa.array(start - rows[row])], names=["h1", "h2", "doc_id", "start"])
+            doc, sig = (b.column(b.schema.get_field_index(k)).to_numpy()[row] for k in ("doc_id", "sig"))
+            one = T.hashes(buf, start, start + LENGTH)
+            two = T.range_hash(T.prefix(buf), start, start + LENGTH)
+            cols = (one.astype(np.int64), two.astype(np.int64), doc, sig, start - rows[row])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "sig", "start"])
 
     return run
 
@@ -216,7 +205,7 @@ def _windows(bits: int, buckets: int):
         held, weight = [], 0
 
         def flush():
-            doc, pos, key, off, size, hsh, left, right, raw = (np.concatenate([h[i] for h in held]) for i in range(9))
+            doc, sig, pos, key, off, size, hsh, left, right, raw = (np.concatenate([h[i] for h in held]) for i in range(10))
             start = np.cumsum(size) - size
             order = np.lexsort((doc, hsh, key))
             order = order[np.argsort(key[order] % _U(buckets), kind="stable")]  # keys are spread by their low bits
@@ -231,14 +220,14 @@ def _windows(bits: int, buckets: int):
                 body = b"".join(raw[s: s + n].tobytes() for s, n in zip(start[f].tolist(), size[f].tolist(), strict=True))
                 head = np.array([len(f), len(o)], np.int64).tobytes()
                 meta = key[f].tobytes() + hsh[f].tobytes() + left[f].tobytes() + right[f].tobytes() + size[f].astype(np.uint8).tobytes() + off[f].astype(np.uint8).tobytes()
-                occ = kind.astype(np.uint32).tobytes() + doc[o].tobytes() + pos[o].astype(np.int64).tobytes()
+                occ = kind.astype(np.uint32).tobytes() + doc[o].tobytes() + sig[o].tobytes() + pos[o].astype(np.int64).tobytes()
                 out.append((int(b[a]), z.compress(head + meta + occ + body)))
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out[i: i + 64]], pa.int32()), pa.array([x[1] for x in out[i: i + 64]], pa.binary())], schema=_WINDOWS)
 
         for b in T.slices(batches):
             buf, rows, at, key, row = _pick(b, bits, False)
-            doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()
+            doc, sig = (b.column(b.schema.get_field_index(k)).to_numpy() for k in ("doc_id", "sig"))
             if not len(at):
                 continue
             lo = np.maximum(at - (LENGTH - GRAM), rows[row])
@@ -249,8 +238,9 @@ def _windows(bits: int, buckets: int):
             # a string of LENGTH bytes has SIDE bytes before its gram or as many after it
             left = np.where(at - lo >= SIDE, T.range_hash(c, np.maximum(at - SIDE, 0), at + GRAM) >> _U(32), _U(0)).astype(np.uint32)
             right = np.where(hi - at >= GRAM + SIDE, T.range_hash(c, at, np.minimum(at + GRAM + SIDE, len(buf))) >> _U(32), _U(0)).astype(np.uint32)
-            held.append((doc[row], lo - rows[row], key, at - lo, size, T.range_hash(c, lo, hi), left, right, buf[spot]))
-            weight += len(spot) + 40 * len(at)
+            whole = T.hashes(buf, lo, np.minimum(hi, lo + T.LANES)) ^ T.range_hash(c, lo, hi)
+            held.append((doc[row], sig[row], lo - rows[row], key, at - lo, size, whole, left, right, buf[spot]))
+            weight += len(spot) + 48 * len(at)
             if weight > 12 << 20:
                 yield from flush()
                 held, weight = [], 0
@@ -299,43 +289,66 @@ def _ranks(word: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_bwt(rows: np.ndarray, shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, the interval of each at ``depth`` symbols, and the common prefixes of the merged order.
-
-    ``shards`` are suffix orders (positions in flattened rows).  They are interleaved by their first eight
-    symbols, and every pass then refines the interleave by one more: the suffixes of a block are told
-    apart by where the last pass put the suffix that follows each, so a pass is one step backwards through
-    the transforms.  Only suffixes before ones that moved can move, and in their blocks they come after
-    those that stay; settled intervals cost nothing.  A boundary's common prefix is the pass that made it."""
-    n, width = rows.shape
-    at = np.sort(np.concatenate(shards))
-    col = at % width
-    live = np.full(n * width, -1, np.int64)
-    live[at] = np.arange(len(at))
-    pad = np.concatenate([rows, np.full((n, 8), STOP, np.uint8)], axis=1)
-    word = np.zeros((n, width), np.uint64)
-    for j in range(8):
-        word = (word << _U(8)) | pad[:, j: j + width]
-    merged = live[np.concatenate(shards)]
-    keys = word.ravel()[at]
-    merged = merged[np.argsort(keys[merged], kind="stable")]  # a merge of sorted runs
-    k = keys[merged]
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs (keys, entries) merged two by two; of equal keys those of the first run come first."""
+
+    def two(a, b):
+        at = np.concatenate([np.arange(len(a[0])) + np.searchsorted(b[0], a[0], "left"), np.arange(len(b[0])) + np.searchsorted(a[0], b[0], "right")])
+        out = np.empty(len(at), a[0].dtype), np.empty(len(at), np.int64)
+        for o, x, y in zip(out, a, b, strict=True):
+            o[at] = np.concatenate([x, y])
+        return out
+
+    while len(runs) > 1:
+        runs = [reduce(two, runs[i: i + 2]) for i in range(0, len(runs), 2)]
+    return runs[0]
+
+
+def merge_bwt(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of the shards' transforms by their first ``depth`` symbols.
+
+    Returns each entry's place (an entry is a row of a transform, numbered through the shards; equal ones
+    share the first place of their run) and, by place, the common prefix with the place before (``depth``
+    where it is as long).  Only the transforms are read: sorting a transform's symbols stably gives the
+    entry that follows each, and so the first eight symbols of every entry, by which the shards' orders
+    are merged.  Each pass then refines the interleave by one more symbol: entries of a block are told
+    apart by where the last pass put the entries that follow them.  Only entries before ones that moved
+    can move, and in their blocks they come after those that stay; settled blocks cost nothing."""
+    before = np.concatenate(shards)
+    n = len(before)
+    follow, runs, base = np.empty(n, np.int64), [], 0
+    for x in shards:
+        follow[base: base + len(x)] = np.argsort(x, kind="stable") + base
+        base += len(x)
+    word = before[follow].astype(np.uint64)  # the first symbol of each entry: the transform's, sorted
+    first, over, step = word.copy(), word == STOP, follow
+    for bits in (8, 16, 32):
+        tail = np.where(over, _U((1 << bits) - 1), word[step])
+        over |= over[step]
+        word, step = (word << _U(bits)) | tail, step[step]
+    base = 0
+    for x in shards:
+        runs.append((word[base: base + len(x)], np.arange(base, base + len(x))))
+        base += len(x)
+    k, merged = _merged(runs)
     head = np.concatenate([[True], k[1:] != k[:-1]])
-    first = np.flatnonzero(head)
-    rank = np.empty(len(at), np.int64)
-    rank[merged] = first[np.cumsum(head) - 1]
-    size = np.zeros(len(at), np.int64)
-    size[first] = np.diff(np.append(first, len(at)))
-    common = np.full(len(at), depth, np.int16)
+    start = np.flatnonzero(head)
+    rank = np.empty(n, np.int64)
+    rank[merged] = start[np.cumsum(head) - 1]
+    size = np.zeros(n, np.int64)
+    size[start] = np.diff(np.append(start, n))
+    common = np.full(n, depth, np.int16)
     differ = (k[1:] ^ k[:-1])[head[1:]]
-    common[first[0]] = 0
-    common[first[1:]] = np.sum([(differ >> _U(64 - 8 * j)) == 0 for j in range(1, 8)], axis=0)
-    move = np.flatnonzero(rows.ravel()[at] != STOP)
+    common[0] = 0
+    common[start[1:]] = np.sum([(differ >> _U(64 - 8 * j)) == 0 for j in range(1, 8)], axis=0)
+    previous = np.empty(n, np.int64)
+    previous[follow] = np.arange(n)
+    move = np.flatnonzero(first != STOP)
     for h in range(8, depth):
         if not len(move):
             break
-        old, after = rank[move], rank[move + 1]
-        order = np.argsort(old * len(at) + after)
+        old, after = rank[move], rank[follow[move]]
+        order = np.argsort(old * n + after)
         move, old, after = move[order], old[order], after[order]
         block = T.starts_of(old)
         count = np.diff(np.append(block, len(old)))
@@ -351,8 +364,8 @@ def merge_bwt(rows: np.ndarray, shards: list[np.ndarray], depth: int) -> tuple[n
         rank[move] = new
         moved = move[new != old]
         common[place[place != old[run]]] = h
-        move = moved[col[moved] > 0] - 1
-    return at, rank, common
+        move = previous[moved[before[moved] != STOP]]
+    return rank, common
 
 
 def repeats(rows: np.ndarray, low: np.ndarray, ok: np.ndarray, depth: int = LENGTH, shard: int = SHARD) -> np.ndarray:
@@ -361,12 +374,15 @@ def repeats(rows: np.ndarray, low: np.ndarray, ok: np.ndarray, depth: int = LENG
     n, width = rows.shape
     out = np.full((n, width), np.iinfo(np.int64).max)
     per = max(1, shard // width)
-    shards = []
+    places, shards = [], []
     for a in range(0, n, per):
         order = np.argsort(np.ascontiguousarray(rows[a: a + per]).view(f"S{width}").ravel(), kind="stable")
-        at, _ = shard_bwt(rows[a: a + per][order])
-        shards.append((order[at // width] + a) * width + at % width)
-    place, interval, _ = merge_bwt(rows, shards, depth)
+        at, before = shard_bwt(rows[a: a + per][order])
+        places.append((order[at // width] + a) * width + at % width)
+        shards.append(before)
+    rank, common = merge_bwt(shards, depth)
+    interval = (np.cumsum(common < depth) - 1)[rank]  # runs of places with as long a common prefix
+    place = np.concatenate(places)
     use = ok.ravel()[place]
     place, interval = place[use], interval[use]
     order = np.argsort(interval, kind="stable")
@@ -390,25 +406,25 @@ def _twice(key: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 def _bucket():
     """Byte ranges to remove, (doc_id, start, stop), from the windows of one bucket."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
     width = 2 * LENGTH - GRAM + 1
 
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        cols, base = [[] for _ in range(10)], 0
+        cols, base = [[] for _ in range(11)], 0
         for blob in table["blob"]:
             raw = z.decompress(blob.as_py())
             f, o = (int(v) for v in np.frombuffer(raw, np.int64, 2))
             at = 16
-            for k, (kind, n) in enumerate(((np.uint64, f), (np.uint64, f), (np.uint32, f), (np.uint32, f), (np.uint8, f), (np.uint8, f), (np.uint32, o), (np.int64, o), (np.int64, o))):
+            for k, (kind, n) in enumerate(((np.uint64, f), (np.uint64, f), (np.uint32, f), (np.uint32, f), (np.uint8, f), (np.uint8, f), (np.uint32, o), (np.int64, o), (np.int64, o), (np.int64, o))):
                 x = np.frombuffer(raw, kind, n, at)
                 cols[k].append(x.astype(np.int64) + base if k == 6 else x)
                 at += x.nbytes
-            cols[9].append(np.frombuffer(raw, np.uint8, len(raw) - at, at))
+            cols[10].append(np.frombuffer(raw, np.uint8, len(raw) - at, at))
             base += f
-        key, hsh, left, right, size, off, kind, doc, pos, body = (np.concatenate(c) for c in cols)
+        key, hsh, left, right, size, off, kind, doc, sig, pos, body = (np.concatenate(c) for c in cols)
         size = size.astype(np.int64)
         start = np.cumsum(size) - size
         order = np.lexsort((hsh, key))
@@ -438,16 +454,15 @@ def _bucket():
             a = e
         out = []
         for a in range(0, len(kind), 1 << 16):
-            k, d = kind[a: a + (1 << 16)], doc[a: a + (1 << 16)]
+            k, d, t = (x[a: a + (1 << 16)] for x in (kind, doc, sig))
             gone = least[k] < d[:, None]
             hit = np.flatnonzero(gone.any(axis=1))
             g = gone[hit]
             p = pos[a: a + (1 << 16)][hit]
-            out.append((d[hit], p + g.argmax(axis=1), p + width - 1 - g[:, ::-1].argmax(axis=1) + LENGTH))
-        d, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((lo, d))
-        d, lo, hi = d[order], lo[order], hi[order]
-        return pa.table([pa.array(d), pa.array(lo), pa.array(hi)], schema=schema)
+            out.append((d[hit], t[hit], p + g.argmax(axis=1), p + width - 1 - g[:, ::-1].argmax(axis=1) + LENGTH))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+        order = np.lexsort((cols[2], cols[0]))
+        return pa.table([pa.array(x[order]) for x in cols], schema=schema)
 
     return run
 
@@ -466,7 +481,8 @@ def _apply(batches):
             np.add.at(step, hi, -1)
             gone = np.cumsum(step[:-1]) > 0
             out.append((int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), data[~gone].tobytes()))
-        yield pa.RecordBatch.from_arrays([doc, pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["doc_id", "n_removed", "n_spans", "kept"])
+        cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([doc, b.column(b.schema.get_field_index("sig")), *cols], names=["doc_id", "sig", "n_removed", "n_spans", "kept"])
 
 
 def repeated_ranges(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
@@ -474,22 +490,24 @@ def repeated_ranges(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame
     ranges to remove as a list."""
     spark = docs.sparkSession
     bits = max(6, (partitions(spark) - 1).bit_length())
-    meta = stage.put(docs.mapInArrow(_scan_meta, "doc_id long, n_bytes long, sha string, sig long"), "meta")
-    first = meta.groupBy("sig").agg(F.min("doc_id").alias("first"))
+    docs = docs.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).withColumn("sig", F.xxhash64("sha"))
+    meta = stage.put(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha", "sig"), "meta")
+    first = meta.groupBy("sha", "sig").agg(F.min("doc_id").alias("first"))
+    docs = docs.drop("sha")
     grams = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_post(bits), "bucket int, blob binary")
     shared = grams.groupBy("bucket").applyInArrow(_shared(bits), "sig long, keys binary, hot boolean")
-    lists = shared.join(first, "sig").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
-    lists = stage.put(lists, "lists")
-    some = _near(docs, lists)
-    windows = some.join(lists, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_windows(bits, 4 << bits), "bucket int, blob binary")
-    found = windows.groupBy("bucket").applyInArrow(_bucket(), "doc_id long, start long, stop long")
-    if not (hot := lists.where("hot")).isEmpty():
-        named = docs.join(hot, "doc_id").dropDuplicates(["doc_id"])
-        strings = stage.put(named.mapInArrow(_hot_strings(bits), "h1 long, h2 long, doc_id long, start long"), "strings")
-        least = stage.put(strings.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "least")
-        again = strings.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-        found = found.unionByName(again)
-    ranges = stage.put(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
+    shared = shared.groupBy("sig").agg(F.collect_list("keys").alias("keys"), F.max("hot").alias("hot"))
+    lists = stage.put(shared.join(first, "sig").select(F.col("first").alias("doc_id"), "sig", "keys", "hot"), "lists")
+    named = _near(docs, lists).join(lists, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
+    windows = named.mapInArrow(_windows(bits, 4 << bits), "bucket int, blob binary")
+    found = windows.groupBy("bucket").applyInArrow(_bucket(), "doc_id long, sig long, start long, stop long")
+    if not lists.where("hot").isEmpty():
+        strings = named.where("hot").mapInArrow(_hot_strings(bits), "h1 long, h2 long, doc_id long, sig long, start long")
+        strings = stage.put(strings, "strings")
+        least = strings.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        again = strings.join(stage.put(least.where("least < most"), "least"), ["h1", "h2"]).where("doc_id > least")
+        found = found.unionByName(again.select("doc_id", "sig", "start", (F.col("start") + LENGTH).alias("stop")))
+    ranges = stage.put(found.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
     return meta, ranges
 
 
@@ -503,19 +521,21 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` for every row; ``kept`` holds the
     remaining bytes where some are gone and some stay, and is null otherwise (all kept or none).
 
-    Null texts are empty; texts under 50 bytes keep everything.  Rows with the same doc_id must be
-    equal; they give equal rows.  Rows without a doc_id keep their bytes and remove none of others'.
+    Null texts are empty; texts under 50 bytes keep everything.  Rows that repeat a doc_id are judged row
+    by row, each by its own text against smaller ids; equal ones give equal rows.  Rows without a doc_id keep their bytes and remove none of others'.
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "suffix")
     src = plain_docs(docs)
     meta, ranges = repeated_ranges(src.where("doc_id IS NOT NULL"), stage)
-    cut = _near(src, ranges).join(ranges, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_apply, "doc_id long, n_removed long, n_spans long, kept binary")
+    signed = src.withColumn("sig", F.xxhash64(F.sha2(F.col("text").cast("binary"), 256)))
+    cut = _near(signed, ranges).join(ranges, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
+    cut = cut.mapInArrow(_apply, "doc_id long, sig long, n_removed long, n_spans long, kept binary")
     cut = stage.put(cut.withColumn("kept_sha256", F.sha2("kept", 256)), "cut")
-    again = meta.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sig", "first")
+    again = meta.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     again = stage.put(again, "again")  # apart from the count, a large class can be split in the join
-    out = join_checked(join_checked(meta, again, "sig", "left"), cut, "doc_id", "left", 256)
+    out = join_checked(join_checked(meta, again, "sha", "left", 80), cut, ["doc_id", "sig"], "left", 256)
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     out = out.select(
         "doc_id", "n_bytes",

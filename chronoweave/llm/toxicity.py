@@ -32,14 +32,14 @@ def _slots(batch: pa.RecordBatch):
     s, e, first = T.words(buf, rows, T.PUNCT)
     if not len(s):
         return
-    c = T.prefix(T.lower(buf))
-    h = T.range_hash(c, s, e)
+    low = T.lower(buf)
+    h = T.hashes(low, s, e)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(first))
     cut = _U(64 - BITS)
     yield row, (T.mix(h) >> cut).astype(np.int64)
     for k in STEMS:
         far = e - s > k
-        yield row[far], (T.mix(T.range_hash(c, s[far], s[far] + k) + _U(k)) >> cut).astype(np.int64)
+        yield row[far], (T.mix(T.hashes(low, s[far], s[far] + k) + _U(k)) >> cut).astype(np.int64)
     for gap, salt in ((1, 3), (2, 5)):
         same = row[gap:] == row[:-gap]
         yield row[gap:][same], (T.mix(h[:-gap][same] * _U(salt) + h[gap:][same]) >> cut).astype(np.int64)

@@ -72,35 +72,58 @@ def test_long_text(spark):
     assert result(S.suffix_dedup(docs(spark, pairs)))[2][1] == 398_000
 
 
+def transforms(r, width=40):
+    """Random windows that share much, the suffixes of two shards of them in order, and the shards' transforms."""
+    n = int(r.integers(4, 40))
+    base = r.integers(97, 99, 100).astype(np.uint8)
+    rows = np.full((n, width), S.STOP, np.uint8)
+    for i in range(n):
+        size, o = int(r.integers(9, width)), int(r.integers(0, 60))
+        rows[i, :size] = base[o: o + size]
+    places, shards = [], []
+    for a, z in ((0, n // 2), (n // 2, n)):
+        part = np.arange(a, z)[np.argsort(np.ascontiguousarray(rows[a:z]).view(f"S{width}").ravel(), kind="stable")]
+        at, before = S.shard_bwt(rows[part])
+        places.append(part[at // width] * width + at % width)
+        shards.append(before)
+        col = at % width
+        assert (before[col > 0] == rows[part].ravel()[at[col > 0] - 1]).all()
+    return rows, np.concatenate(places), shards
+
+
 def test_merge_orders_and_prefixes():
     r = np.random.default_rng(0)
-    for _ in range(20):
-        n, w = int(r.integers(2, 40)), 40
-        base = r.integers(97, 99, 100).astype(np.uint8)
-        rows = np.full((n, w), S.STOP, np.uint8)
-        for i in range(n):
-            size, o = int(r.integers(9, w)), int(r.integers(0, 60))
-            rows[i, :size] = base[o: o + size]
-        rows = np.unique(rows, axis=0)
-        order = np.argsort(rows.view(f"S{w}").ravel(), kind="stable")
-        half = len(rows) // 2
-        shards = []
-        for part in (order[:half], order[half:]):
-            if len(part):
-                part = np.sort(part)
-                part = part[np.argsort(np.ascontiguousarray(rows[part]).view(f"S{w}").ravel(), kind="stable")]
-                at, before = S.shard_bwt(rows[part])
-                shards.append(part[at // w] * w + at % w)
-                col = at % w
-                assert (before[col > 0] == rows[part].ravel()[at[col > 0] - 1]).all()
-        at, rank, common = S.merge_bwt(rows, shards, 20)
-        text = [rows[p // w, p % w:].tobytes()[:20].ljust(20, b"\xff") for p in at]
+    for _ in range(40):
+        rows, places, shards = transforms(r)
+        rank, common = S.merge_bwt(shards, 20)
+        w = rows.shape[1]
+        text = [rows[p // w, p % w:].tobytes()[:20].ljust(20, b"\xff") for p in places]
         want = sorted(text)
         for t, k in zip(text, rank, strict=True):
             assert want.index(t) == k
         for i in range(1, len(want)):
-            lcp = next((j for j in range(20) if want[i][j] != want[i - 1][j]), 20)
-            assert common[i] == lcp or (common[i] == 20 and lcp == 20)
+            assert common[i] == next((j for j in range(20) if want[i][j] != want[i - 1][j]), 20)
+
+
+def test_the_merge_reads_the_transforms():
+    """Two symbols of a transform exchanged, or a shard's order, change what comes out."""
+    r, changed = np.random.default_rng(1), 0
+    for _ in range(10):
+        _, _, shards = transforms(r)
+        rank, common = S.merge_bwt(shards, 20)
+        a, b = (int(np.flatnonzero(shards[0] == c)[0]) for c in (97, 98))
+        shards[0] = shards[0].copy()
+        shards[0][[a, b]] = shards[0][[b, a]]
+        other = S.merge_bwt(shards, 20)
+        changed += not (np.array_equal(rank, other[0]) and np.array_equal(common, other[1]))
+    assert changed == 10
+
+
+def test_unlike_texts_of_one_document(spark):
+    a, b = "first text of far more than fifty bytes, all of its own words", "second text, also of more than fifty bytes, again with its own"
+    rows = [(1, a), (2, b), (2, "x" + a), (3, b), (3, "quite another text that nobody else has, of fifty bytes or more")]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in S.suffix_dedup(docs(spark, rows)).collect())
+    assert got == sorted([(1, len(a), 0), (2, len(b), 0), (2, len(a) + 1, len(a)), (3, len(b), len(b)), (3, len(rows[4][1]), 0)])
 
 
 @pytest.mark.parametrize("limit", [1, 3])
