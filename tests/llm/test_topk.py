@@ -23,6 +23,7 @@ def brute(data, k=10, every=100):
 @pytest.mark.parametrize("rows", [64, 4096])
 def test_against_full_scan(spark, monkeypatch, rows):
     monkeypatch.setattr(topk, "ROWS", rows)
+    monkeypatch.setattr(topk, "FIRST", 16)
     monkeypatch.setattr(topk, "QUERY_VALUES", 24)
     r = np.random.default_rng(3)
     data = [(i, [float(c) for c in r.normal(0, 0.2, 8)]) for i in range(700)]
@@ -33,6 +34,20 @@ def test_against_full_scan(spark, monkeypatch, rows):
     assert {tuple(x) for x in got.collect()} == brute(data)
 
 
+def test_lists_are_not_read_to_their_ends():
+    """Most entries that a query skips are in the lists of the later, larger blocks."""
+    r = np.random.default_rng(4)
+    x = np.floor(1024 * (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(r.normal(size=(20000, 32))))
+    search = topk.Search(np.arange(20), x[:20], 10)
+    search.add(np.arange(len(x)), x, last=True)
+    assert search.read / search.rows < 0.8
+    for j in range(20):
+        score = x @ x[j]
+        score[j] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -score))[:10]
+        assert search.found[j].tolist() == want.tolist() and search.scores[j].tolist() == score[want].tolist()
+
+
 def test_edges(spark):
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
     assert topk.top_k(spark.createDataFrame([(0, [1.0], 0)], SCHEMA)).count() == 0
