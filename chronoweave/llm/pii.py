@@ -1,12 +1,16 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base spans follow four fixed patterns and checks.  The method proposes further spans (numbers that the
-base patterns run together, spelled-out addresses, keyed secrets); labelers vote on every proposal: the
-format's check, a gazetteer, the words before it, its boundaries and the variety of its characters.
-Votes meet in a table of patterns (kind and five votes of three values, so its size is bounded); on that
-table expectation-maximisation estimates each labeler's reliability by kind and the posterior of each
-pattern, and a logistic span classifier is trained on them.  Proposals that it accepts and that touch no
-base span of their kind are added; base spans always stay.
+base patterns run together, spelled-out addresses, keyed secrets) in what the base spans of their kind
+leave of a text; labelers vote on every span: the format's check, a gazetteer, the words before it, its
+boundaries and the variety of its characters.  Votes meet in a table of patterns (kind, five votes of
+three values and three span features of a few values, so its size is bounded); on that table
+expectation-maximisation estimates each labeler's reliability by kind and the posterior of each vote, and
+a logistic span classifier is trained on them with the span's own features: its length, its first
+character and what stands before it.  Proposals that it accepts are added; base spans always stay.
+
+Work is linear in a text: offsets are summed in blocks of matches, and contexts come from the pieces
+between matches, never by counting from the text's start.
 """
 
 from __future__ import annotations
@@ -51,22 +55,39 @@ GAZETTEER = {
 }
 CONTEXT_FOR = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|payment|server|host|address|token|key|secret|password)[^A-Za-z]{0,8}$"
 CONTEXT_AGAINST = r"(?i)(?:version|release|page|isbn|issn|order|chapter|section|figure|table)[^A-Za-z]{0,8}$"
-_SPANS = "array<struct<kind:string,s:int,e:int,m:string>>"
+_SPANS = "array<struct<kind:string,s:int,e:int,m:string,b:string,a:string>>"
+BLOCK = 256  # matches whose offsets are summed together
+GONE = "\u0001"  # stands for each character of a base span; no pattern matches it
 
 
 def _found(text: str, kind: str, pattern: str, need: str) -> Column:
-    """All matches with code-point offsets: the pieces between them give where each begins."""
+    """All matches with code-point offsets and neighbours: the pieces between them give where each begins."""
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("g"), F.length(m).alias("n"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    pairs = F.transform(
+        F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m"), F.slice(pieces, 2, F.size(matches)).alias("q")),
+        lambda x: F.struct(F.length(x["p"]).alias("g"), F.length(x["m"]).alias("n"), x["m"].alias("m"), F.right(x["p"], F.lit(24)).alias("b"), F.left(x["q"], F.lit(1)).alias("a")))
+    none = F.array().cast(_SPANS)
 
     def step(acc, x):
         s = acc["at"] + x["g"]
-        span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + x["n"]).alias("e"), x["m"].alias("m"))
+        span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + x["n"]).alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"))
         return F.struct((s + x["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(need)), found).otherwise(F.array().cast(_SPANS))
+    def block(acc, part):
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda k: F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+    found = F.when(F.size(matches) > 0, F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["out"]))).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(need)), found).otherwise(none)
+
+
+def _blanked(text: str, kind: str, pattern: str, need: str) -> Column:
+    """The text with its base spans of a kind covered, character by character."""
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(_valid(kind, m), F.repeat(F.lit(GONE), F.length(m))).otherwise(m))
+    pieces = F.zip_with(F.split(text, pattern, -1), matches, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+    return F.when(F.regexp_like(text, F.lit(need)), F.array_join(pieces, "")).otherwise(F.col(text))
 
 
 def _digits(m: Column) -> Column:
@@ -98,31 +119,36 @@ def _is(kind: str):
     return lambda x: x["kind"] == kind
 
 
-def _votes(text: str, x: Column) -> Column:
-    """``kind:votes`` of one proposal; a vote is + for, - against, 0 none."""
-    kind, m = x["kind"], x["m"]
-    before = F.substring(F.col(text), F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
-    after = F.substring(F.col(text), x["e"] + 1, F.lit(1))
+def _by_kind(kind: Column, f) -> Column:
+    out = F.lit(False)
+    for k in KINDS:
+        out = F.when(kind == k, f(k)).otherwise(out)
+    return out
 
-    def by_kind(f):
-        out = F.lit(False)
-        for k in KINDS:
-            out = F.when(kind == k, f(k)).otherwise(out)
-        return out
 
+def _votes(x: Column) -> Column:
+    """``kind:votes:features`` of one span; a vote is + for, - against, 0 none."""
+    kind, m, before = x["kind"], x["m"], x["b"]
     sign = lambda yes, no: F.when(yes, "+").when(no, "-").otherwise("0")
-    checked = by_kind(lambda k: _valid(k, m) if k in BASE else F.regexp_like(m, F.lit("[0-9]")))
-    listed = by_kind(lambda k: F.regexp_like(m, F.lit(GAZETTEER[k])))
+    checked = _by_kind(kind, lambda k: _valid(k, m) if k in BASE else F.regexp_like(m, F.lit("[0-9]")))
+    listed = _by_kind(kind, lambda k: F.regexp_like(m, F.lit(GAZETTEER[k])))
     variety = F.size(F.array_distinct(F.split(m, ""))) >= 5
-    edge = ~F.regexp_like(after, F.lit("^[A-Za-z0-9]"))
-    return F.concat(kind, F.lit(":"), sign(checked, ~checked), sign(listed, F.lit(False)), sign(F.regexp_like(before, F.lit(CONTEXT_FOR)), F.regexp_like(before, F.lit(CONTEXT_AGAINST))), sign(edge, ~edge), sign(variety, ~variety))
+    edge = ~F.regexp_like(x["a"], F.lit("^[A-Za-z0-9]"))
+    votes = [sign(checked, ~checked), sign(listed, F.lit(False)), sign(F.regexp_like(before, F.lit(CONTEXT_FOR)), F.regexp_like(before, F.lit(CONTEXT_AGAINST))), sign(edge, ~edge), sign(variety, ~variety)]
+    length = F.least(F.floor(F.length(m) / 8), F.lit(4)).cast("string")
+    first = F.when(F.regexp_like(m, F.lit("^[0-9]")), "d").when(F.regexp_like(m, F.lit("^[A-Za-z]")), "a").otherwise("o")
+    lead = F.when(F.regexp_like(before, F.lit("[:=]\\s?\"?$")), "c").when(F.regexp_like(before, F.lit("(?:^|\\s)$")), "s").otherwise("o")
+    return F.concat(kind, F.lit(":"), *votes, F.lit(":"), length, first, lead)
 
 
 def reliabilities(patterns: dict[str, int], rounds: int = 40) -> dict[str, float]:
-    """Posterior of each vote pattern by expectation-maximisation, independent labelers by kind."""
+    """Posterior of each pattern by expectation-maximisation over its votes, independent labelers by kind."""
     out = {}
     for kind in KINDS:
-        own = {p.split(":")[1]: n for p, n in patterns.items() if p.startswith(kind + ":")}
+        own = {}
+        for p, n in patterns.items():
+            if p.startswith(kind + ":"):
+                own[p.split(":")[1]] = own.get(p.split(":")[1], 0) + n
         post = {v: 0.9 if v.count("+") > v.count("-") else 0.1 for v in own}
         for _ in range(rounds if own else 0):
             total = sum(own.values())
@@ -141,14 +167,20 @@ def reliabilities(patterns: dict[str, int], rounds: int = 40) -> dict[str, float
                 yes = math.log(prior) + sum(math.log(rate[j][1][v[j]]) for j in range(5))
                 no = math.log(1 - prior) + sum(math.log(rate[j][0][v[j]]) for j in range(5))
                 post[v] = 1 / (1 + math.exp(max(-60, min(60, no - yes))))
-        out |= {f"{kind}:{v}": p for v, p in post.items()}
+        out |= {p: post[p.split(":")[1]] for p in patterns if p.startswith(kind + ":")}
     return out
 
 
+def _features(pattern: str) -> list[str]:
+    """A span's votes, its kind, and its length, first character and lead, each by kind."""
+    kind, votes, shape = pattern.split(":")
+    return [f"{j}{c}" for j, c in enumerate(votes)] + [kind, kind + votes[0]] + [f"{kind}/{j}{c}" for j, c in enumerate(shape)]
+
+
 def classifier(patterns: dict[str, int], posterior: dict[str, float], rounds: int = 200, rate: float = 0.5) -> dict[str, float]:
-    """Span scores of the vote patterns from a logistic model on votes and kind, fit to the posteriors."""
+    """Span scores of the patterns from a logistic model on votes and span features, fit to the posteriors."""
     total = sum(patterns.values()) or 1
-    feats = {p: [f"{j}{c}" for j, c in enumerate(p.split(":")[1])] + [p.split(":")[0], p.split(":")[0] + p.split(":")[1][0]] for p in patterns}
+    feats = {p: _features(p) for p in patterns}
     weight = {f: 0.0 for x in feats.values() for f in x}
     score = lambda p: 1 / (1 + math.exp(-max(-30, min(30, sum(weight[f] for f in feats[p])))))
     for _ in range(rounds):
@@ -169,14 +201,14 @@ def find(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     src = plain_docs(docs)
-    raw = src.select("doc_id", "text", *[_found("text", k, p, NEEDS[k] if k != "email" else "@").alias(f"b_{k}") for k, p in BASE.items()], *[_found("text", k, p, NEEDS[k]).alias(f"c_{k}") for k, p in MORE.items()])
+    left = {k: _blanked("text", k, p, NEEDS[k] if k != "email" else "@").alias(f"t_{k}") for k, p in BASE.items()}
+    raw = src.select("doc_id", "text", *[_found("text", k, p, NEEDS[k] if k != "email" else "@").alias(f"b_{k}") for k, p in BASE.items()], *left.values())
+    raw = raw.select("doc_id", *[f"b_{k}" for k in BASE], *[_found(f"t_{k}" if k in BASE else "text", k, p, NEEDS[k]).alias(f"c_{k}") for k, p in MORE.items()])
     base = F.concat(*[F.filter(f"b_{k}", _checks(k)) for k in BASE])
-    raw = raw.select("doc_id", "text", base.alias("base"), F.concat(*[f"c_{k}" for k in MORE]).alias("more"))
-    new = F.filter("more", lambda x: ~F.exists("base", lambda y: (y["kind"] == x["kind"]) & (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    slim = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _votes("text", x).alias("v")))
-    voted = raw.withColumn("new", new).select("doc_id", slim("base").alias("base"), slim("new").alias("new"))
+    slim = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _votes(x).alias("v")))
+    voted = raw.select("doc_id", slim(base).alias("base"), slim(F.concat(*[f"c_{k}" for k in MORE])).alias("new"))
     voted = Stage(docs.sparkSession, "pii").put(voted, "voted")
-    seen = voted.select(F.explode(F.concat("base", "new")).alias("x")).groupBy("x.v").count().collect()  # 5 x 3**5 rows at most
+    seen = voted.select(F.explode(F.concat("base", "new")).alias("x")).groupBy("x.v").count().collect()  # 5 x 3**5 x 45 rows at most, a few hundred in practice
     patterns = {r["v"]: r["count"] for r in seen}
     score = classifier(patterns, reliabilities(patterns))
     accept = sorted(p for p, s in score.items() if s >= 0.5)

@@ -1,6 +1,7 @@
 """Toxicity, line templates, personal data, decontamination and licences on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -196,11 +197,53 @@ def test_pii_edges(spark):
 
 
 def test_reliabilities_tell_labelers_apart():
-    patterns = {"card:++0++": 500, "card:-+0--": 400, "card:+-0++": 30, "card:-0---": 60}
+    patterns = {"card:++0++:2ds": 500, "card:-+0--:2ds": 400, "card:+-0++:2ds": 30, "card:-0---:2ds": 60}
     p = pii.reliabilities(patterns)
-    assert p["card:++0++"] > 0.9 > 0.1 > p["card:-0---"]
+    assert p["card:++0++:2ds"] > 0.9 > 0.1 > p["card:-0---:2ds"]
     s = pii.classifier(patterns, p)
-    assert s["card:++0++"] > 0.5 > s["card:-0---"]
+    assert s["card:++0++:2ds"] > 0.5 > s["card:-0---:2ds"]
+
+
+def test_reliabilities_against_single_spans():
+    """The same expectation-maximisation with a row for every span instead of a table of votes."""
+    r = random.Random(3)
+    rows = ["".join(r.choice("++0" if real and j != 2 else "--0+") for j in range(5)) for real in [True] * 80 + [False] * 50]
+    post = [0.9 if v.count("+") > v.count("-") else 0.1 for v in rows]
+    for _ in range(40):
+        prior = (1 + sum(post)) / (2 + len(rows))
+        rate = [[{c: ((4.0 if c == own else 1.0) + sum(p if side else 1 - p for v, p in zip(rows, post, strict=True) if v[j] == c)) for c in "+-0"} for side, own in ((0, "-"), (1, "+"))] for j in range(5)]
+        rate = [[{c: x / sum(w.values()) for c, x in w.items()} for w in both] for both in rate]
+        odds = [math.log(prior / (1 - prior)) + sum(math.log(rate[j][1][v[j]] / rate[j][0][v[j]]) for j in range(5)) for v in rows]
+        post = [1 / (1 + math.exp(-max(-60, min(60, o)))) for o in odds]
+    patterns = {}
+    for i, v in enumerate(rows):
+        key = f"card:{v}:{i % 3}ds"
+        patterns[key] = patterns.get(key, 0) + 1
+    got = pii.reliabilities(patterns)
+    for i, (v, p) in enumerate(zip(rows, post, strict=True)):
+        assert abs(got[f"card:{v}:{i % 3}ds"] - p) < 1e-9
+
+
+def test_pii_added_spans_by_hand(spark):
+    """Proposals of a fixture found with a plain scan; those of accepted patterns are the added spans."""
+    t = ["write to jane(at)example.org now", 'password = "hunter2hunter2hunter2X9"', "ids 1.2.3.4.5.6.7.8 and 4111 1111 1111 1111", "nothing here"]
+    t += [f"mail: p{i}[at]site.net" for i in range(30)]
+    got = {r["doc_id"]: r for r in pii.find(docs(spark, list(enumerate(t)))).collect()}
+    for i, x in enumerate(t):
+        want = {("email", m.start(), m.end()) for m in re.finditer(r"[a-z0-9]+(?:\(at\)|\[at\])[a-z]+\.[a-z]+", x)}
+        want |= {("secret", m.start(), m.end()) for m in re.finditer(r"hunter2hunter2hunter2X9", x)}
+        added = {(s["kind"], s["s"], s["e"]) for s in got[i]["added"]}
+        assert added <= want and (added == want or i == 1), x
+        for a in added:
+            assert not any(b["kind"] == a[0] and b["s"] < a[2] and a[1] < b["e"] for b in got[i]["base"])
+
+
+def test_pii_of_a_log_is_linear(spark):
+    """Many blocks of matches keep exact offsets."""
+    x = "".join(f"10.0.{i % 250}.{i % 199} é user{i}@host.org, " for i in range(6000))
+    row = pii.summary(pii.find(docs(spark, [(1, x)]))).collect()[0]
+    assert row["n_email"] == row["n_ip"] == 6000
+    assert row["base_sha256"] == hashlib.sha256(",".join(base_spans(x)).encode()).hexdigest()
 
 
 def lcs_tiles(a, b, least):
