@@ -44,12 +44,16 @@ LONGER = {
                 "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "ISC": ["ISC License", "SPDX-License-Identifier: ISC",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0"],
     "MIT": ["MIT License", "SPDX-License-Identifier: MIT", "Licensed under the MIT License, see LICENSE for details.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"],
     "MPL-2.0": ["Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense",
+                  "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
-CUE = r"(?i)licen[cs]e|copyright|creative commons|\bcc[ -]?(?:by|0)\b|public domain|rights reserved|redistribution|permission is hereby|proprietary"
+CUE = r"(?i)licen[cs]e|copyright|creative commons|\bcc[ -]?(?:by|0)\b|public domain|rights reserved|redistribution|permission is hereby|proprietary|permission to use, copy|unencumbered software"
 NAMED = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:\.[a-z]+)?$"
 LEAST, OWN_SHARE = 0.6, 0.5
 _SPLIT = "[^a-z0-9]+"
@@ -76,7 +80,7 @@ def _forms() -> dict[tuple[str, int], dict[str, int]]:
 
     out = dict(_template_terms())
     for name, texts in sorted(LONGER.items()):
-        for k, t in enumerate(texts, len(TEMPLATES[name])):
+        for k, t in enumerate(texts, len(TEMPLATES.get(name, ()))):
             words = [w for w in re.split(_SPLIT, t.lower()) if w]
             out[name, k] = {w: words.count(w) for w in words}
     return out
@@ -88,12 +92,14 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     ``origin`` is file, header or inherited, and ``directory`` the one that the licence came from (null
     unless inherited); all are null where nothing applies.  Of equal cosines the first licence by name
     counts; of a directory's licence files the best, then the first.  Null texts are empty, a null path
-    is a file without directories.  Repeated rows each get a row.  Other columns are ignored, whatever
+    is a file without directories.  Repeated rows each get a row, judged as one; rows of one key with unlike
+    texts are judged each by its own.  Other columns are ignored, whatever
     their names; an empty table gives an empty result.
     """
     spark = files.sparkSession
     st = Stage(spark, "licence")
     src = files.select(F.col(key).alias("k"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("p"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    src = src.withColumn("h", F.xxhash64("t"))  # with key and path, what a row holds
     templates = _forms()
     known = sorted({w for t in templates.values() for w in t})
     seen = src.select(F.explode(F.array_intersect(F.array_distinct(_terms("t")), F.array(*map(F.lit, known)))).alias("w")).groupBy("w").count()
@@ -114,21 +120,27 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     parts = F.split("t", "\n[ \t\r]*\n")
     blocks = F.filter(F.transform(parts, lambda v, i: F.struct((-1 - i).cast("int").alias("line"), v.alias("x"))), lambda r: F.regexp_like(r["x"], F.lit(CUE)) & r["x"].contains("\n"))
     whole = F.when(named, F.array(F.struct(F.lit(-(1 << 30)).alias("line"), F.col("t").alias("x")))).otherwise(F.array().cast("array<struct<line:int,x:string>>"))
-    lines = st.put(cued.select("k", "p", F.size(_terms("t")).alias("words"), named.alias("named"), F.explode(F.concat(own, blocks, whole)).alias("r")).select("k", "p", "words", "named", "r.*"), "regions")
-    terms = lines.select("k", "p", "words", "named", "line", F.explode(_terms("x")).alias("w")).groupBy("k", "p", "words", "named", "line", "w").agg(F.count("*").alias("n"))
+    file = ["k", "p", "h", "words", "named"]
+    lines = cued.select("k", "p", "h", F.size(_terms("t")).alias("words"), named.alias("named"), F.explode(F.concat(own, blocks, whole)).alias("r"))
+    lines = st.put(lines.select(*file, "r.*").dropDuplicates(["k", "p", "h", "line"]), "regions")  # repeated rows count once
+    terms = lines.select(*file, "line", F.explode(_terms("x")).alias("w")).groupBy(*file, "line", "w").agg(F.count("*").alias("n"))
     terms = st.put(terms, "terms")
     # document frequencies, over all files, of every term of a region
     vocabulary = st.put(terms.select("w").distinct(), "vocabulary")
     counts = join_checked(src.select(F.explode(F.array_distinct(_terms("t"))).alias("w")), vocabulary, "w", "left_semi", 48).groupBy("w").agg(F.count("*").alias("files"))
     weights = st.put(counts.select("w", (F.log(F.lit(1.0 + total) / (1 + F.col("files"))) + 1).alias("idf")), "weights")
     terms = join_checked(terms, weights, "w", "left", 48).withColumn("v", F.col("n") * F.coalesce("idf", F.lit(unseen)))
-    size = terms.groupBy("k", "p", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("n").alias("in_line"))
-    dots = terms.join(vectors, "w").groupBy("k", "p", "words", "named", "line", "license", "template").agg(F.sum(F.col("v") * F.col("tw")).alias("dot"))
-    cosine = dots.join(size, (dots.k.eqNullSafe(size.k)) & (dots.p == size.p) & (dots.line == size.line)).select(dots.k, dots.p, "words", "named", dots.line, "license", "in_line", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= LEAST)
-    best = cosine.groupBy("k", "p", "words", "named", "line").agg(F.min_by(F.struct("license", "score", "in_line"), F.struct(-F.col("score"), "license")).alias("b"))
-    own = best.groupBy("k", "p", "words", "named").agg(F.min_by(F.struct("b.license", "b.score"), F.struct(-F.col("b.score"), "b.license")).alias("b"), F.sum(F.when(F.col("line") >= 0, F.col("b.in_line"))).alias("lines"), F.max(F.when(F.col("line") < 0, F.col("b.in_line"))).alias("block"))
+    region = ["k", "p", "h", "line"]
+    size = terms.groupBy(*region).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("n").alias("in_line"))
+    dots = terms.join(vectors, "w").groupBy(*file, "line", "license", "template").agg(F.sum(F.col("v") * F.col("tw")).alias("dot"))
+    same = dots.k.eqNullSafe(size.k) & (dots.p == size.p) & (dots.h == size.h) & (dots.line == size.line)
+    cosine = dots.join(size, same).select(*[dots[c] for c in (*file, "line")], "license", "in_line", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    best = cosine.where(F.col("score") >= LEAST).groupBy(*file, "line").agg(F.min_by(F.struct("license", "score", "in_line"), F.struct(-F.col("score"), "license")).alias("b"))
+    own = best.groupBy(*file).agg(
+        F.min_by(F.struct("b.license", "b.score"), F.struct(-F.col("b.score"), "b.license")).alias("b"),
+        F.sum(F.when(F.col("line") >= 0, F.col("b.in_line"))).alias("lines"), F.max(F.when(F.col("line") < 0, F.col("b.in_line"))).alias("block"))
     own = own.withColumn("licensed", F.greatest("lines", "block"))
-    own = own.select("k", "p", "b.license", "b.score", F.when(F.col("named") | (F.col("licensed") >= OWN_SHARE * F.col("words")), "file").otherwise("header").alias("origin"))
+    own = own.select("k", "p", "h", "b.license", "b.score", F.when(F.col("named") | (F.col("licensed") >= OWN_SHARE * F.col("words")), "file").otherwise("header").alias("origin"))
     own = st.put(own, "own")
 
     above = F.when(F.col("p") != "", F.regexp_replace("p", "/?[^/]*$", ""))
@@ -139,9 +151,12 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     near = join_checked(dirs, here, "at", "inner", 128).groupBy("dir").agg(F.max_by(F.struct("at", "d.license", "d.score"), F.length("at")).alias("i"))
     near = st.put(near, "near")
 
-    out = src.select("k", "p", above.alias("dir"))
-    mine = own.withColumnsRenamed({"k": "k2", "p": "p2"})
-    out = out.join(mine, out.k.eqNullSafe(mine.k2) & (out.p == mine.p2), "left")
+    out = src.select("k", "p", "h", above.alias("dir"))
+    mine = own.withColumnsRenamed({"k": "k2", "p": "p2", "h": "h2"})
+    out = out.join(mine, out.k.eqNullSafe(mine.k2) & (out.p == mine.p2) & (out.h == mine.h2), "left")
     out = join_checked(out, near, "dir", "left", 256)
     use = F.col("license").isNull() & F.col("i").isNotNull()
-    return out.select(F.col("k").alias(key), F.when(use, F.col("i.license")).otherwise(F.col("license")).alias("license"), F.when(use, F.col("i.score")).otherwise(F.col("score")).alias("score"), F.when(use, "inherited").otherwise(F.col("origin")).alias("origin"), F.when(use, F.col("i.at")).alias("directory"))
+    return out.select(
+        F.col("k").alias(key), F.when(use, F.col("i.license")).otherwise(F.col("license")).alias("license"),
+        F.when(use, F.col("i.score")).otherwise(F.col("score")).alias("score"),
+        F.when(use, "inherited").otherwise(F.col("origin")).alias("origin"), F.when(use, F.col("i.at")).alias("directory"))

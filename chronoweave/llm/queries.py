@@ -82,24 +82,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _licence_sql() -> str:
-    """The scan over documents: TF-IDF over lines with licence words, directories and their ancestors."""
-    vectors = ", ".join(f"('{name}', {k}, '{w}', {n})" for (name, k), t in licenses._template_terms().items() for w, n in t.items())
+    """The scan over documents: TF-IDF over lines and blocks with licence words, directories and their ancestors.
+
+    No path of the query is named like a licence file, so whole files are no regions here."""
+    vectors = ", ".join(f"('{name}', {k}, '{w}', {n})" for (name, k), t in licenses._forms().items() for w, n in t.items())
     terms = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
     return f"""
 WITH d AS (SELECT doc_id, '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' p, coalesce(text, '') t FROM documents),
 tv(license, template, w, n) AS (VALUES {vectors}),
 total AS (SELECT count(*) c FROM d),
-df AS (SELECT w, count(*) c FROM (SELECT DISTINCT doc_id, unnest({terms.format('t')}) w FROM d) WHERE w IN (SELECT w FROM tv) GROUP BY w),
-idf AS (SELECT w, ln((1 + total.c) / (1 + coalesce(df.c, 0))) + 1 v FROM (SELECT DISTINCT w FROM tv) LEFT JOIN df USING (w), total),
+cued AS (SELECT doc_id, p, len({terms.format('t')}) words, t FROM d WHERE regexp_matches(t, '{licenses.CUE}')),
+l AS (SELECT doc_id, p, words, unnest(string_split(t, chr(10))) x, generate_subscripts(string_split(t, chr(10)), 1) - 1 i FROM cued
+      UNION ALL SELECT doc_id, p, words, unnest(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n')) x, -generate_subscripts(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n'), 1) i FROM cued),
+u AS (SELECT doc_id, p, words, i, w, count(*) n FROM (SELECT doc_id, p, words, i, unnest({terms.format('x')}) w FROM l
+      WHERE regexp_matches(x, '{licenses.CUE}') AND (i >= 0 OR contains(x, chr(10)))) GROUP BY ALL),
+df AS (SELECT w, count(*) c FROM (SELECT DISTINCT doc_id, unnest({terms.format('t')}) w FROM d) GROUP BY w),
+idf AS (SELECT w, ln((1 + total.c) / (1 + coalesce(df.c, 0))) + 1 v FROM (SELECT w FROM tv UNION SELECT w FROM u) LEFT JOIN df USING (w), total),
 tn AS (SELECT license, template, sqrt(sum((n * v) * (n * v))) norm FROM tv JOIN idf USING (w) GROUP BY ALL),
 vec AS (SELECT license, template, w, n * v / norm tw FROM tv JOIN idf USING (w) JOIN tn USING (license, template)),
-l AS (SELECT doc_id, p, len({terms.format('t')}) words, unnest(string_split(t, chr(10))) x, generate_subscripts(string_split(t, chr(10)), 1) i FROM d WHERE regexp_matches(t, '{licenses.CUE}')),
-u AS (SELECT doc_id, p, words, i, w, count(*) n FROM (SELECT doc_id, p, words, i, unnest({terms.format('x')}) w FROM l WHERE regexp_matches(x, '{licenses.CUE}')) GROUP BY ALL),
-tf AS (SELECT u.*, u.n * coalesce(v, ln(1 + c) + 1) v FROM u LEFT JOIN idf USING (w), total),
+tf AS (SELECT u.*, u.n * v v FROM u JOIN idf USING (w)),
 nm AS (SELECT doc_id, i, sqrt(sum(v * v)) norm, sum(n) in_line FROM tf GROUP BY ALL),
 cs AS (SELECT doc_id, p, words, i, license, in_line, round(sum(v * tw) / norm, 6) score FROM tf JOIN vec USING (w) JOIN nm USING (doc_id, i) GROUP BY doc_id, p, words, i, license, template, in_line, norm),
 bl AS (SELECT * FROM cs WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY score DESC, license) = 1),
-lc AS (SELECT doc_id, sum(in_line) licensed FROM bl GROUP BY doc_id),
+lc AS (SELECT doc_id, greatest(coalesce(sum(in_line) FILTER (i >= 0), 0), coalesce(max(in_line) FILTER (i < 0), 0)) licensed FROM bl GROUP BY doc_id),
 own AS (SELECT doc_id, p, license, score, CASE WHEN licensed >= {licenses.OWN_SHARE} * words THEN 'file' ELSE 'header' END origin FROM bl JOIN lc USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
 here AS (SELECT regexp_replace(p, '/?[^/]*$', '') place, license, score FROM own WHERE origin = 'file' QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, license) = 1),
 dirs AS (SELECT DISTINCT regexp_replace(p, '/?[^/]*$', '') dir FROM d),

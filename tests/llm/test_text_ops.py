@@ -336,6 +336,25 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licences_of_repeated_rows(spark):
+    """Equal rows are one file; rows of one key with unlike texts are files of their own."""
+    body = "Released under the MIT License.\n\n" + "plain words of a text that is no licence file " * 3
+    rows = [(1, "a/x.txt", body)] * 3 + [(2, "a/y.txt", "code"), (3, "b/z.txt", "code"), (3, "b/z.txt", "Licensed under CC BY 4.0.")]
+    got = sorted((r["doc_id"], r["license"] or "", r["origin"] or "") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert got == [(1, "MIT", "header")] * 3 + [(2, "", ""), (3, "CC-BY-4.0", "file"), (3, "CC-BY-4.0", "inherited")]
+
+
+def test_licences_by_name(spark):
+    texts = {
+        "ISC": "ISC License\n\nCopyright (c) 2020 Jane Doe\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any means.",
+        "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.",
+    }
+    files = [(i, f"{i}/COPYING", t) for i, t in enumerate(texts.values())] + [(100 + i, f"z/{i}.py", f"some of the code and the text of file {i} for the user") for i in range(40)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(3)] == list(texts)
+
+
 def test_licences_of_blocks_tags_and_titles(spark):
     gpl = licenses.LONGER["GPL-3.0"][-1].split()
     wrapped = "\n".join("# " + " ".join(gpl[i: i + 9]) for i in range(0, len(gpl), 9))
