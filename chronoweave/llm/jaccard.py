@@ -376,23 +376,24 @@ def _links(sig: DataFrame, sets: DataFrame, st: Stage, num: int, den: int) -> Da
     near = st.put(_verify(st.put(few, "few"), sets, num, den), "near")
 
     # 3. larger ones by differences from their pivots, the hubs of components
-    many = placed(at.drop("c").join(groups.where(F.col("sets") > TOGETHER).select("s"), "s"))
+    many = st.put(at.join(groups.where(F.col("sets") > TOGETHER).select("s"), "s").select("s", "id", "c"), "many")
+    nodes = st.put(many.select("id", "c").distinct(), "nodes")
     if links is None:
-        hubs = many.select("c", F.col("id").alias("hub"), F.lit(0).cast("long").alias("size")).limit(0)
+        hubs = nodes.select("c", F.col("id").alias("hub"), F.lit(0).cast("long").alias("size")).limit(0)
     else:
         degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").count()
         hubs = degree.join(comp, "node").groupBy(F.col("component").alias("c")).agg(F.max(F.struct("count", "node")).alias("h"), F.count("*").alias("size"))
         hubs = hubs.select("c", F.col("h.node").alias("hub"), "size")
-    many = many.join(st.put(hubs, "hubs"), "c", "left").withColumn("h", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("hub", "id").alias("hub")))
-    many = st.put(many.select("s", "id", "c", "h"), "many")
-    met = st.put(many.select("s", "c", "h").distinct(), "met")
+    hubs = st.put(hubs, "hubs")
+    met = many.select("s", "c").distinct().join(hubs, "c", "left")  # a set of no component is its own hub
+    met = met.select("s", "c", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("hub", "c").alias("hub")).alias("h"))
+    met = st.put(met, "met")
     # of two components the smaller one's sets meet the larger one's hub; sets of no component meet the largest hub
     other = met.where("h.size > 1").select("s", F.col("c").alias("of"), F.col("h").alias("g"))
     to = met.join(other, "s").where("g > h").select(F.col("g.hub").alias("r"), "of", "c").distinct()
     own = met.where("h.size > 1").select(F.col("h.hub").alias("r"), F.col("c").alias("of"), "c").distinct()
-    nodes = st.put(many.select("id", "c").distinct(), "nodes")
-    alone = many.where("h.size = 1").select("s", "id", "c").join(met.groupBy("s").agg(F.max("h").alias("h")), "s")
-    alone = alone.select(F.col("h.hub").alias("r"), F.col("c").alias("of"), "id").distinct()
+    alone = met.where("h.size = 1").select("s", "c").join(met.groupBy("s").agg(F.max("h").alias("h")), "s")
+    alone = alone.select(F.col("h.hub").alias("r"), F.col("c").alias("of"), F.col("c").alias("id")).distinct()
     wide = st.put(to.unionByName(own), "wide").join(nodes, "c").select("r", "of", "id")
     pairs = wide.unionByName(alone).where("id <> r").select(F.col("r").alias("a"), F.col("id").alias("b")).distinct()
     diffs = st.put(_differences(pairs, sets, num, den), "diffs")
