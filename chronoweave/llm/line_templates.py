@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import Stage, join_checked, plain_docs, small
+from ._store import Stage, join_checked, plain_docs
 
 _U = np.uint64
 DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT, CONTEXTS, OWN = 2, 4, 5, 0.6, 0.5, 1 / 3
 LONG, LONG_DOCS = 50, 2  # lines of more than LONG tokens recur from LONG_DOCS documents on
-LEAVES_MOST = 1 << 20  # leaves or constants that travel with a scan (8 MB); beyond it a bitmap does, and constants are joined
-MAP_BITS = 25  # of bitmaps (4 MB); chance hits cost work but change no result
+MAP_BITS = 25  # of the bitmaps that travel with a scan (4 MB); chance hits cost work but change no result
 SLICE = 1 << 18  # bytes of text at a time, as arrays over its tokens take many times that
 _DIGIT = np.array([48 <= c < 58 for c in range(256)])
 _WILD = _U(0x57494C44)
@@ -86,15 +85,10 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _has(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys are in the sorted list, or may be by the bitmap."""
-    if known.dtype != np.uint8:
-        keys = keys.astype(np.int64)
-        if not len(known):
-            return np.zeros(len(keys), bool)
-        return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be known by the bitmap."""
     at = keys & _U((1 << MAP_BITS) - 1)
-    return (known[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+    return (bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
 
 
 def _keys(b: pa.RecordBatch, leaves: np.ndarray):
@@ -123,24 +117,6 @@ def _constants(leaves: np.ndarray):
     return run
 
 
-def _shapes(leaves: np.ndarray, constants: np.ndarray):
-    """Lines that keep enough constants, with their templates."""
-
-    def run(batches):
-        for b in T.slices(batches, most=SLICE):
-            row, number, leaf, n, line, key = _keys(b, leaves)
-            hit = _has(constants, key)
-            held = np.bincount(line[hit], minlength=len(n))
-            mask = np.zeros(len(n), np.uint64)
-            np.add.at(mask, line[hit], key[hit])
-            keep = held >= CONSTANT * n
-            doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row[keep]]
-            template = T.mix(leaf[keep] + T.mix(mask[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number[keep]), pa.array(n[keep] > LONG), pa.array(template.astype(np.int64))], names=["doc_id", "line", "long", "template"])
-
-    return run
-
-
 def _spread(leaves: np.ndarray, constants: np.ndarray):
     """A row for each possible constant of lines that may keep enough."""
 
@@ -152,8 +128,8 @@ def _spread(leaves: np.ndarray, constants: np.ndarray):
             line, key = line[hit], key[hit]
             own = b.column(b.schema.get_field_index("own")).to_numpy()[row[line]]
             doc = b.column(b.schema.get_field_index("doc_id")).to_numpy()[row[line]]
-            cols = [pa.array(x) for x in (own, doc, number[line], leaf[line].astype(np.int64), n[line].astype(np.int32), key.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["own", "doc_id", "line", "leaf", "n", "key"])
+            at = (number.astype(np.int64) << 32) | n  # the line's number and size in one
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, doc, at[line], key.astype(np.int64))], names=["own", "doc_id", "at", "key"])
 
     return run
 
@@ -197,17 +173,16 @@ def recurring_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     def often_enough(found: DataFrame, name: str) -> tuple[DataFrame, np.ndarray]:
         found = found.groupBy("key").agg(F.max("long").alias("long"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("key")
         found = stage.put(found, name)
-        return found, np.sort(found.toArrow()["key"].to_numpy()) if small(found, 8, 8 * LEAVES_MOST) else _bitmap(found)  # LEAVES_MOST at most
+        return found, _bitmap(found)
 
     _, leaves = often_enough(docs.mapInArrow(_leaves, counted), "leaves")  # a filter only: constants need as many documents
     constants, known = often_enough(docs.mapInArrow(_constants(leaves), counted), "constants")
-    if known.dtype != np.uint8:
-        shape = docs.mapInArrow(_shapes(leaves, known), "doc_id long, line int, long boolean, template long")
-    else:
-        own = docs.withColumn("own", F.monotonically_increasing_id())  # tells repeated rows of a document apart
-        kept = own.mapInArrow(_spread(leaves, known), "own long, doc_id long, line int, leaf long, n int, key long").join(constants, "key")
-        shape = kept.groupBy("own", "doc_id", "line", "leaf", "n").agg(F.bit_xor("key").alias("mask"), F.count("*").alias("held")).where(F.col("held") >= CONSTANT * F.col("n"))
-        shape = shape.select("doc_id", "line", (F.col("n") > LONG).alias("long"), F.xxhash64("leaf", "mask").alias("template"))
+    own = docs.withColumn("own", F.monotonically_increasing_id())  # tells repeated rows of a document apart
+    kept = own.mapInArrow(_spread(leaves, known), "own long, doc_id long, at long, key long").join(constants, "key")
+    shape = kept.groupBy("own", "doc_id", "at").agg(F.bit_xor("key").alias("mask"), F.count("*").alias("held"))
+    n = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    shape = shape.where(F.col("held") >= CONSTANT * n)  # a key holds its leaf, so the keys alone name the template
+    shape = shape.select("doc_id", F.shiftright("at", 32).cast("int").alias("line"), (n > LONG).alias("long"), F.xxhash64("mask", "held").alias("template"))
     shape = stage.put(shape, "shape")
     often = shape.select("template", "long", "doc_id").distinct().groupBy("template", "long").count().where(F.col("count") >= least).select("template")
     shape = stage.put(join_checked(shape, stage.put(often, "often"), "template", "left_semi", 16), "candidates")

@@ -126,12 +126,6 @@ def test_lines_with_names_among_the_leading_tokens(spark):
     assert [x["n_dropped"] for x in line_templates.drop_lines(docs(spark, pairs)).collect()] == [1] * 40
 
 
-def test_lines_without_known_leaves_join(spark, monkeypatch):
-    want = sorted(map(str, line_templates.drop_lines(docs(spark, lines_corpus())).select("doc_id", "n_dropped").collect()))
-    monkeypatch.setattr(line_templates, "LEAVES_MOST", 0)
-    assert sorted(map(str, line_templates.drop_lines(docs(spark, lines_corpus())).select("doc_id", "n_dropped").collect())) == want
-
-
 def test_lines_edges(spark):
     assert line_templates.drop_lines(docs(spark, [(1, "x")]).limit(0)).count() == 0
     df = clashing(docs(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e")])).withColumn("n_lines", F.lit(9))
