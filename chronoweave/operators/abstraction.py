@@ -22,13 +22,14 @@ def state(df: DataFrame, concept: str, cases: list[tuple[str, Column]]) -> DataF
     return out.select("patient_id", F.lit(concept).alias("concept"), "start_ts", "end_ts", F.col("_v").alias("value"), F.col("_v").try_cast("double").alias("value_num"))
 
 
-def trend(df: DataFrame, concept: str, variation: float | Column, steady_days: int | Column) -> DataFrame:
-    """Between consecutive samples no further apart than the steady time: Increasing, Decreasing or Stable.
+def trend(df: DataFrame, concept: str, variation: float | Column, steady: int | Column) -> DataFrame:
+    """Between consecutive samples no further apart than the steady time (days, or a column of intervals):
+    Increasing, Decreasing or Stable.
 
     Values that are no numbers give nothing."""
     own = Window.partitionBy("patient_id", "concept").orderBy("start_ts", "value_num")
     pairs = df.where("value_num IS NOT NULL").withColumn("_t", F.lag("start_ts").over(own)).withColumn("_d", F.col("value_num") - F.lag("value_num").over(own))
-    near = F.col("start_ts") <= F.col("_t") + F.make_interval(days=F.lit(steady_days) if isinstance(steady_days, int) else steady_days)
+    near = F.col("start_ts") <= F.col("_t") + (F.make_interval(days=F.lit(steady)) if isinstance(steady, int) else steady)
     v = F.lit(variation) if isinstance(variation, (int, float)) else variation
     value = F.when(F.col("_d") >= v, "Increasing").when(F.col("_d") <= -v, "Decreasing").otherwise("Stable")
     return pairs.where(near).select("patient_id", (F.lit(concept) if isinstance(concept, str) else concept).alias("concept"), F.col("_t").alias("start_ts"), F.col("start_ts").alias("end_ts"), value.alias("value"), F.lit(None).cast("double").alias("value_num"))
@@ -58,15 +59,17 @@ def clip(contexts: DataFrame, clippers: DataFrame) -> DataFrame:
 def last_before(anchors: DataFrame, samples: DataFrame, strict: bool = True, within: tuple[int, str] | None = None) -> DataFrame:
     """Each anchor with the latest sample before its start (or at it, unless strict) within a duration.
 
-    Adds sample_ts, sample_value and sample_num; anchors without such a sample go."""
+    Adds sample_ts, sample_value and sample_num; anchors without such a sample go.  A column ``_row`` of
+    the anchors, if there is one, is carried along."""
     side = 0 if strict else 2  # at equal times anchors look at what sorts before them
-    left = anchors.select(*COLUMNS, F.lit(1).alias("_side"), F.lit(None).cast("struct<t:timestamp_ntz,v:string,n:double>").alias("_s"))
-    right = samples.select("patient_id", F.lit(None).cast("string").alias("concept"), "start_ts", F.lit(None).cast("timestamp_ntz").alias("end_ts"), F.lit(None).cast("string").alias("value"), F.col("value_num"), F.lit(2 - side).alias("_side"), F.struct(F.col("start_ts").alias("t"), F.col("value").alias("v"), F.col("value_num").alias("n")).alias("_s"))
+    carried = [f for f in anchors.schema if f.name == "_row"]
+    left = anchors.select(*COLUMNS, *(f.name for f in carried), F.lit(1).alias("_side"), F.lit(None).cast("struct<t:timestamp_ntz,v:string,n:double>").alias("_s"))
+    right = samples.select("patient_id", F.lit(None).cast("string").alias("concept"), "start_ts", F.lit(None).cast("timestamp_ntz").alias("end_ts"), F.lit(None).cast("string").alias("value"), F.col("value_num"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in carried), F.lit(2 - side).alias("_side"), F.struct(F.col("start_ts").alias("t"), F.col("value").alias("v"), F.col("value_num").alias("n")).alias("_s"))
     past = Window.partitionBy("patient_id").orderBy("start_ts", "_side", F.when(F.col("_s").isNotNull(), F.col("value_num"))).rowsBetween(Window.unboundedPreceding, -1)
     both = left.unionByName(right).withColumn("_last", F.last("_s", ignorenulls=True).over(past)).where("_side = 1 AND _last IS NOT NULL")
     if within is not None:
         both = both.where(F.col("_last.t") + duration(*within) >= F.col("start_ts"))
-    return both.select(*COLUMNS, F.col("_last.t").alias("sample_ts"), F.col("_last.v").alias("sample_value"), F.col("_last.n").alias("sample_num"))
+    return both.select(*COLUMNS, *(f.name for f in carried), F.col("_last.t").alias("sample_ts"), F.col("_last.v").alias("sample_value"), F.col("_last.n").alias("sample_num"))
 
 
 def near_anchor(anchors: DataFrame, rows: DataFrame, period: tuple[int, str]) -> DataFrame:

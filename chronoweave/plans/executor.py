@@ -80,9 +80,11 @@ def _trends(concepts: list[Concept], rows: DataFrame) -> DataFrame | None:
     if not concepts:
         return None
     spark = rows.sparkSession
-    table = spark.createDataFrame([(c.sources[0], c.id, c.variation, c.steady[0]) for c in concepts if c.sources], "source string, trend string, sv double, steady int")
+    units = {"year": (12, 0, 0), "month": (1, 0, 0), "week": (0, 7, 0), "day": (0, 1, 0), "hour": (0, 0, 3600), "minute": (0, 0, 60), "second": (0, 0, 1)}
+    steady = {c.id: [c.steady[0] * u for u in units[c.steady[1]]] for c in concepts}
+    table = spark.createDataFrame([(c.sources[0], c.id, c.variation, *steady[c.id]) for c in concepts if c.sources], "source string, trend string, sv double, months int, days int, secs int")
     used = rows.join(F.broadcast(table), F.col("concept") == F.col("source"))  # as small as the catalog
-    return A.trend(used.withColumn("concept", F.col("trend")), F.col("trend"), F.col("sv"), F.col("steady"))
+    return A.trend(used.withColumn("concept", F.col("trend")), F.col("trend"), F.col("sv"), F.make_interval(months="months", days="days", secs=F.col("secs").cast("decimal(18,6)")))
 
 
 def _context(c: Concept, rows: DataFrame) -> DataFrame:
@@ -117,10 +119,8 @@ def _pattern(c: Concept, rows: DataFrame, as_of: datetime | None) -> DataFrame:
         rule = next((p for p in c.pairwise if {p.i, p.j} <= {*start, k.alias} and k.alias in (p.i, p.j)), None)
         if rule is not None and rule.j == k.alias and rule.operator != "equal":
             anchor = out.select("patient_id", F.struct("*").alias("_row"), F.col(f"{rule.i}_start").alias("start_ts"), F.col(f"{rule.i}_end").alias("end_ts"))
-            anchor = anchor.withColumns({"concept": F.to_json("_row"), "value": F.lit(None).cast("string"), "value_num": F.lit(None).cast("double")})
-            schema = out.schema
-            got = A.last_before(anchor.select(*I.COLUMNS), parts[k.alias], rule.operator == "bigger", rule.max_duration)
-            got = got.withColumn("_row", F.from_json("concept", schema))
+            anchor = anchor.withColumns({"concept": F.lit(c.id), "value": F.lit(None).cast("string"), "value_num": F.lit(None).cast("double")})
+            got = A.last_before(anchor, parts[k.alias], rule.operator == "bigger", rule.max_duration)
             out = got.select("_row.*", F.col("sample_ts").alias(f"{k.alias}_start"), F.col("sample_ts").alias(f"{k.alias}_end"), F.col("sample_value").alias(f"{k.alias}_value"))
         else:
             out = out.join(parts[k.alias].select("patient_id", *_named(k.alias)), "patient_id")

@@ -31,7 +31,8 @@ def raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """The five text columns as written.  The header is skipped whatever it says (a byte-order mark
     included); rows with fewer than three columns or a blank id are dropped."""
     df = spark.read.schema(RAW + ", _bad string").option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    return df.where(F.col("StartTime").isNotNull() | F.col("_bad").isNull()).where(F.trim("PatientID") != "").drop("_bad")
+    commas = F.regexp_count(F.regexp_replace("_bad", F.lit('"(?:[^"]|"")*"'), F.lit("")), F.lit(","))  # outside quotes
+    return df.where(F.col("_bad").isNull() | F.col("StartTime").isNotNull() | (commas >= 2)).where(F.trim("PatientID") != "").drop("_bad")
 
 
 def events(raw: DataFrame) -> DataFrame:

@@ -81,6 +81,21 @@ def test_dedup(spark):
     assert C.exact_dedup(raw).count() == 2 and raw.count() == 3
 
 
+def test_rows_carried_by_look_back_keep_microseconds(spark):
+    t = datetime(2020, 1, 5, 10, 0, 0, 123456)
+    row = lambda c, at, v: ("p", c, at, at, v, None)
+    anchors = spark.createDataFrame([row("visit", t, None)], SCHEMA).withColumn("_row", F.struct("start_ts", "end_ts"))
+    samples = spark.createDataFrame([row("lab", t - timedelta(microseconds=1), "7")], SCHEMA)
+    got = A.last_before(anchors, samples).collect()
+    assert [(r["_row"]["start_ts"], r["sample_ts"], r["sample_value"]) for r in got] == [(t, t - timedelta(microseconds=1), "7")]
+
+
+def test_steady_time_as_an_interval(spark):
+    data = rows(spark, [("p", "a", 0, 0, 1), ("p", "a", 10, 10, 9), ("p", "a", 30, 30, 20)])
+    found = A.trend(data, "t", 5.0, F.make_interval(days=F.lit(14)))
+    assert [(r[2], r[3], r[4]) for r in got(found)] == [(0, 10, "Increasing")]
+
+
 def test_trend(spark):
     data = [("p", "x", d, d, v) for d, v in ((0, 50), (30, 56), (60, 57), (200, 90))] + [("q", "x", 0, 0, "High"), ("q", "x", 1, 1, "Low")]
     assert [(r[2], r[3], r[4]) for r in got(A.trend(rows(spark, data), "t", 5.0, 98))] == [(0, 30, "Increasing"), (30, 60, "Stable")]
@@ -229,9 +244,10 @@ def test_config(tmp_path):
 
 def test_sources(spark, tmp_path):
     f = tmp_path / "raw_events.csv"
-    f.write_text("﻿PatientID,ConceptName,StartTime,EndTime,Value\n 7 ,A,2020-01-02,,5\n,B,2020-01-01,,1\n8,C\n9,D,2020-01-02 03:04,2020-01-03,x\n", encoding="utf-8")
+    f.write_text("﻿PatientID,ConceptName,StartTime,EndTime,Value\n 7 ,A,2020-01-02,,5\n,B,2020-01-01,,1\n8,C\n9,D,2020-01-02 03:04,2020-01-03,x\n10,E,,\n11,F,\n12,\"G,H\"\n", encoding="utf-8")
     e = {r["patient_id"]: r for r in sources.events(sources.raw_csv(spark, str(f))).collect()}
-    assert set(e) == {"7", "9"} and e["7"]["end_ts"] == e["7"]["start_ts"] == datetime(2020, 1, 2) and e["7"]["value_num"] == 5 and e["9"]["value_num"] is None
+    assert set(e) == {"7", "9", "10", "11"} and e["10"]["start_ts"] is None and e["10"]["value"] is None  # three columns are enough
+    assert e["7"]["end_ts"] == e["7"]["start_ts"] == datetime(2020, 1, 2) and e["7"]["value_num"] == 5 and e["9"]["value_num"] is None
     ids = tmp_path / "ids.txt"
     ids.write_text("3\n\n 1 \n1,2\n")
     assert sorted(r[0] for r in sources.id_list(spark, str(ids)).collect()) == ["1", "2", "3"]
