@@ -107,12 +107,22 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(o[-1] - o[0]), int(o[0])), o - o[0]
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; Arrow's pool gives back what it freed, as reused workers would hold on to it."""
+    pool = pa.default_memory_pool()
+    for b in batches:
+        pool.release_unused()
+        yield b
+        del b
+    pool.release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text at most (or one longer row)."""
-    for b in batches:
+    for b in released(batches):
         if not b.num_rows:
             continue
-        _, o = texts(b.column(b.schema.get_field_index(column)))
+        o = texts(b.column(b.schema.get_field_index(column)))[1]
         i = 0
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(o, o[i] + most, "right")) - 1)

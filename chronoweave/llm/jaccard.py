@@ -235,7 +235,7 @@ def _signatures(num: int, den: int):
         return np.unique(np.concatenate(out))
 
     def run(batches):
-        for b in batches:
+        for b in T.released(batches):
             ids, shared = b.column("id"), b.column("shared").to_numpy()
             got, size, ns = [], [], []
             for i, (t, o) in enumerate(zip(b.column("toks"), b.column("often"), strict=True)):
@@ -264,7 +264,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by exact intersection of the whole sets."""
 
     def run(batches):
-        for t in batches:
+        for t in T.released(batches):
             keep = []
             for x, y in zip(t.column("ta"), t.column("tb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -283,7 +283,7 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     first entries suffice against any set (``short``) or against linked ones (``long``), and the entries."""
 
     def run(batches):
-        for t in batches:
+        for t in T.released(batches):
             out = []
             for x, y in zip(t.column("ta"), t.column("tb"), strict=True):
                 r, s = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -305,7 +305,7 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
 def _entries(batches):
     """A row for each entry of a difference, numbered from 1."""
-    for b in batches:
+    for b in T.released(batches):
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
             at = part.schema.get_field_index("diff")

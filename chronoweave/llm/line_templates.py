@@ -147,7 +147,7 @@ def _frames(batches):
 
 def _around(batches):
     """(template, text, context) of the candidate lines of documents that have enough text of their own."""
-    for b in batches:
+    for b in T.released(batches):
         out = []
         for text, leaves, sizes, lines, templates in zip(*(b.column(c) for c in ("text", "leaves", "sizes", "lines", "templates")), strict=True):
             leaf, size = leaves.values.to_numpy().astype(np.uint64), sizes.values.to_numpy()
@@ -187,9 +187,11 @@ def recurring_lines(docs: DataFrame, stage: Stage) -> DataFrame:
     often = shape.select("template", "long", "doc_id").distinct().groupBy("template", "long").count().where(F.col("count") >= least).select("template")
     shape = stage.put(join_checked(shape, stage.put(often, "often"), "template", "left_semi", 16), "candidates")
     mine = shape.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "template"))).alias("c")).select("doc_id", F.col("c.line").alias("lines"), F.col("c.template").alias("templates"))
-    frames = docs.mapInArrow(_frames, "doc_id long, text long, leaves array<long>, sizes array<int>")
+    # staged, so that no task holds two Python workers
+    frames = stage.put(docs.mapInArrow(_frames, "doc_id long, text long, leaves array<long>, sizes array<int>"), "frames")
     around = join_checked(frames, stage.put(mine, "mine"), "doc_id", "inner", 400).mapInArrow(_around, "template long, text long, context long")
     around = stage.put(around, "around")
+    stage.drop("frames")
     texts = around.select("template", "text").distinct().groupBy("template").agg(F.count("*").alias("texts"))
     contexts = around.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("contexts"))
     # of a long line in fewer than MIN_DOCS texts the smallest document keeps its copy
