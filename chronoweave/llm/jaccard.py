@@ -318,7 +318,7 @@ def _entries(batches):
             yield pa.RecordBatch.from_arrays([*cols, pa.array(entry), pa.array(rank.astype(np.int32))], names=[*names, "entry", "rank"])
 
 
-def _across(diffs: DataFrame, hubs: DataFrame, placed, num: int, den: int) -> DataFrame:
+def _across(diffs: DataFrame, hubs: DataFrame, placed, st: Stage, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of sets that share a prefix entry of their differences from a pivot: one in the
     pivot's component and one not, or both in none; components as before ``placed`` names them anew."""
     of = hubs.select(F.col("hub").alias("r"), F.col("c").alias("of"))
@@ -331,10 +331,20 @@ def _across(diffs: DataFrame, hubs: DataFrame, placed, num: int, den: int) -> Da
     cols = ["r", "id", "n", "m", "short", "long", "c", "role", "near"]
     kinds = "r binary, id binary, n int, m int, short int, long int, c binary, role int, near boolean"
     rows = rows.select(*cols, "diff").mapInArrow(_entries, f"{kinds}, entry long, rank int")
-    x = rows.where("rank <= short").alias("x")
-    y = rows.where("role > 0 AND (near AND rank <= long OR role = 1 AND rank <= short)").alias("y")
+    # as x, as y to any, as y to sets of no component
+    rows = rows.withColumn("px", F.expr("rank <= short")).withColumn("py", F.expr("role > 0 AND near AND rank <= long")).withColumn("pz", F.expr("role = 1 AND rank <= short"))
+    rows = st.put(rows.where("px OR py OR pz").drop("rank", "short", "long"), "entries")
+    # entries of the same sets lead to the same pairs: one of them is joined
+    flags = ("id", "px", "py", "pz")
+    same = rows.groupBy("r", "entry").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64(*flags)).alias("h1"), F.bit_xor(F.xxhash64(*flags, F.lit(7))).alias("h2"), F.count("*").alias("sets"),
+        F.expr("bool_or(px) AND bool_or(py OR pz)").alias("both"))
+    one = same.where("lo <> hi AND both").groupBy("r", "h1", "h2", "sets").agg(F.min("entry").alias("entry")).select("r", "entry")
+    rows = st.put(rows.join(one, ["r", "entry"]), "kept")
+    x = rows.where("px").alias("x")
+    y = rows.where("py OR pz").alias("y")
     fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {den + num} * abs(x.m - y.m) <= {den - num} * (x.n + y.n)"
-    roles = "(x.role = 0 AND y.near OR x.role = 1 AND y.role = 1 AND y.rank <= y.short AND x.id < y.id)"
+    roles = "(x.role = 0 AND y.py OR x.role = 1 AND y.pz AND x.id < y.id)"
     pairs = x.join(y, ["r", "entry"]).where(f"x.c <> y.c AND {roles} AND {fits}")
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
@@ -398,7 +408,7 @@ def _links(sig: DataFrame, sets: DataFrame, st: Stage, num: int, den: int) -> Da
     pairs = wide.unionByName(alone).where("id <> r").select(F.col("r").alias("a"), F.col("id").alias("b")).distinct()
     diffs = st.put(_differences(pairs, sets, num, den), "diffs")
     add(diffs.where("link").select(F.col("r").alias("a"), F.col("id").alias("b")).unionByName(near), "pivots")
-    add(_verify(st.put(_across(diffs.join(nodes, "id"), hubs, placed, num, den), "across"), sets, num, den), "rest")
+    add(_verify(st.put(_across(diffs.join(nodes, "id"), hubs, placed, st, num, den), "across"), sets, num, den), "rest")
     return comp
 
 
@@ -439,7 +449,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     st.drop("full")
     sig = st.put(sets.mapInArrow(_signatures(num, den), "s long, id binary, n int, shared int"), "sig")
     comp = _links(sig, sets, st, num, den)
-    st.drop("sig", "sets", "placed", "groups", "few", "many", "met", "wide", "diffs", "across")
+    st.drop("sig", "sets", "placed", "groups", "few", "many", "met", "wide", "diffs", "entries", "kept", "across")
 
     own = classes.withColumn("node", name)
     if comp is None:
