@@ -23,6 +23,7 @@ BITS = 20
 STEMS = (4, 5, 6, 8)
 TOXIC_ROWS, CLEAN_ROWS = 4096, 8192
 INCLUDE = 3
+PARTS = 16  # in which the driver reads the training rows
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 4.0, 1.0, 4
 
 
@@ -45,24 +46,13 @@ def _slots(batch: pa.RecordBatch):
         yield row[gap:][same], (T.mix(h[:-gap][same] * _U(salt) + h[gap:][same]) >> cut).astype(np.int64)
 
 
-def _features(keep: np.ndarray | None):
-    """Per document its distinct slots (those in ``keep``) as bytes of int32."""
-
-    def run(batches):
-        table = np.ones(1 << BITS, bool) if keep is None else np.zeros(1 << BITS, bool)
-        if keep is not None:
-            table[keep] = True
-        for b in T.slices(batches):
-            keys = [np.zeros(0, np.int64)]
-            for row, slot in _slots(b):
-                hit = table[slot]
-                keys.append((row[hit] << BITS) | slot[hit])
-            keys = np.unique(np.concatenate(keys))
-            at = np.searchsorted(keys >> BITS, np.arange(b.num_rows + 1))
-            slot = (keys & ((1 << BITS) - 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array([slot[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "slots"])
-
-    return run
+def _features(batches):
+    """Per document its distinct slots as bytes of int32."""
+    for b in T.slices(batches):
+        keys = np.unique(np.concatenate([np.zeros(0, np.int64)] + [(row << BITS) | slot for row, slot in _slots(b)]))
+        at = np.searchsorted(keys >> BITS, np.arange(b.num_rows + 1))
+        slot = (keys & ((1 << BITS) - 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array([slot[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "slots"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -80,14 +70,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     toxic = known.where("toxic = 1").orderBy("order", "doc_id").limit(TOXIC_ROWS)
     clean = known.where("toxic = 0").orderBy("order", "doc_id").limit(CLEAN_ROWS)
     chosen = st.put(toxic.unionByName(clean).select("doc_id", "toxic"), "chosen")  # TOXIC_ROWS + CLEAN_ROWS at most
-    rows = st.put(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "rows")
+    rows = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     label = {r[0]: r[1] for r in chosen.collect()}
-    first = rows.join(F.broadcast(chosen.where("toxic = 1")), "doc_id", "left_semi").mapInArrow(_features(None), "doc_id long, slots binary")
+    # the driver reads a few parts one after another, each a job without Python code
+    found = st.put(rows.mapInArrow(_features, "doc_id long, slots binary"), "features").coalesce(PARTS)
+
+    def slots():
+        return ((r["doc_id"], np.frombuffer(r["slots"], np.int32)) for r in found.toLocalIterator())
+
     seen = np.zeros(1 << BITS, np.int32)
-    for r in first.toLocalIterator():
-        seen[np.frombuffer(r["slots"], np.int32)] += 1
-    keep = np.flatnonzero(seen >= min(INCLUDE, total[1]))
-    data = [(r["doc_id"], np.frombuffer(r["slots"], np.int32)) for r in rows.mapInArrow(_features(keep), "doc_id long, slots binary").toLocalIterator()]
+    for i, x in slots():
+        if label[i]:
+            seen[x] += 1
+    keep = seen >= min(INCLUDE, total[1])
+    data = [(i, x[keep[x]]) for i, x in slots()]
     st.drop()
     data.sort(key=lambda x: x[0])
     n_toxic = sum(label[i] for i, _ in data)
