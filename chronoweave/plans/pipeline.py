@@ -80,7 +80,7 @@ def run_leg(events: DataFrame, leg: Leg, config: Config, catalog: Catalog | None
         made = derive(once) if derive else rows
     m = config.mining
     gap = (m.max_gap, m.unit) if m.max_gap else None
-    found = M.mine(made, leg.size, m.support, m.max_level, m.relations, gap, m.adjacency, list(m.concepts) if m.concepts else None)
+    found = M.mine(made.where("start_ts IS NOT NULL AND end_ts IS NOT NULL"), leg.size, m.support, m.max_level, m.relations, gap, m.adjacency, list(m.concepts) if m.concepts else None)
     return found.select(F.lit(leg.window.name).alias("window"), F.lit(leg.label).alias("label"), "patient_id", "level", "pattern", "horizontal")
 
 
