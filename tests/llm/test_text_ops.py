@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,24 @@ def test_lines_with_names_among_the_leading_tokens(spark):
     assert [x["n_dropped"] for x in line_templates.drop_lines(docs(spark, pairs)).collect()] == [1] * 40
 
 
+def test_counts_of_line_tokens_travel_packed():
+    """A row a piece and pass, not a row a token, goes to where the counts are added up."""
+    r = random.Random(15)
+    pairs = [(i, "\n".join(word_lines(r, 20))) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], names=["doc_id", "text"])
+    made = list(line_templates._constants(np.full(1 << 23, 255, np.uint8))(iter([batch])))
+    assert 0 < sum(b.num_rows for b in made) <= 1024
+
+
+def test_lines_do_not_depend_on_chance_hits(spark, monkeypatch):
+    """Bitmaps of a few bits hold most keys by chance."""
+    pairs = lines_corpus()
+    whole = {x["doc_id"]: x["text"] for x in line_templates.drop_lines(docs(spark, pairs)).collect()}
+    for bits in (3, 5):
+        monkeypatch.setattr(line_templates, "MAP_BITS", bits)
+        assert {x["doc_id"]: x["text"] for x in line_templates.drop_lines(docs(spark, pairs)).collect()} == whole
+
+
 def test_lines_edges(spark):
     assert line_templates.drop_lines(docs(spark, [(1, "x")]).limit(0)).count() == 0
     df = clashing(docs(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e")])).withColumn("n_lines", F.lit(9))
