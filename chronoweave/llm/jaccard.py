@@ -18,10 +18,10 @@ Verification.
 2. Where a signature still joins several components and has at most TOGETHER sets, those are paired.
 3. Larger groups are never paired: their prefixes are extended until what meets is small.  Their sets are
    written as differences from the pivot (one intersection each, which also finds direct links).  What all have in common is gone from them,
-   so prefixes of the differences, own shingles first, are short and selective: two sets x, y of which y is not
-   linked with the pivot r share more than ``(|x ^ r| + k (|r| - |x|)) / 2`` differences, with
-   ``k = (1 - t) / (1 + t)``, or they are no link.  Sets of different components that share a prefix
-   difference are verified by exact intersection.
+   so prefixes of the differences, those that lead to the fewest pairs first, are short and selective: two sets
+   x, y of which y is not linked with the pivot r share more than ``(|x ^ r| + k (|r| - |x|)) / 2`` differences,
+   with ``k = (1 - t) / (1 + t)``, or they are no link.  Sets of different components that share a prefix
+   difference, with enough of both differences after it, are verified by exact intersection.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -280,7 +280,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """For each (pivot a, set b): whether they link, the sizes of b and of the difference, how many of its
-    first entries suffice against any set (``short``) or against linked ones (``long``), and the entries."""
+    entries, first in any order, suffice against any set (``short``) or against linked ones (``long``), and the
+    entries."""
 
     def run(batches):
         for t in T.released(batches):
@@ -288,14 +289,12 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             for x, y in zip(t.column("ta"), t.column("tb"), strict=True):
                 r, s = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 d = np.setxor1d(r, s, assume_unique=True)
-                lack = np.isin(d, r, assume_unique=True)
                 m, n = len(d), len(s)
                 same = (len(r) + n - m) // 2
                 link = same > 0 and same * den >= num * (len(r) + n - same)
                 half = -((-(m * (den + num) + (den - num) * (len(r) - n))) // (2 * (den + num)))  # rounded up
                 far = m - n * (den - num) // num
-                d = np.concatenate([d[~lack], d[lack]])  # what the set has of its own is rarer than what it lacks
-                out.append((link, n, m, m - max(1, half, far) + 1, m - max(1, far) + 1, d[: m - max(1, far) + 1].tobytes()))
+                out.append((link, n, m, m - max(1, half, far) + 1, m - max(1, far) + 1, d.tobytes()))
             kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             cols = [t.column("a"), t.column("b")] + [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, names=["r", "id", "link", "n", "m", "short", "long", "diff"])
@@ -304,7 +303,7 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
 
 def _entries(batches):
-    """A row for each entry of a difference, numbered from 1."""
+    """A row for each entry of a difference."""
     for b in T.released(batches):
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
@@ -312,10 +311,9 @@ def _entries(batches):
             size = np.array([len(x.as_buffer()) // 8 for x in part.column(at)])
             row = np.repeat(np.arange(part.num_rows), size)
             entry = np.frombuffer(b"".join(x.as_py() for x in part.column(at)), np.int64)
-            rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1
             cols = [part.column(i).take(pa.array(row)) for i in range(part.num_columns) if i != at]
             names = [f.name for f in part.schema if f.name != "diff"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(entry), pa.array(rank.astype(np.int32))], names=[*names, "entry", "rank"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(entry)], names=[*names, "entry"])
 
 
 def _across(diffs: DataFrame, hubs: DataFrame, placed, st: Stage, num: int, den: int) -> DataFrame:
@@ -328,22 +326,31 @@ def _across(diffs: DataFrame, hubs: DataFrame, placed, st: Stage, num: int, den:
     most = rows.groupBy("r").agg(F.coalesce(F.max(F.when(F.col("role") == 0, F.col("m"))), F.lit(0)).alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     rows = rows.join(most.where("lo <> hi"), "r").withColumn("near", F.expr(f"m - most <= n * {den - num} / {num}"))
     rows = rows.where("role = 0 OR role = 1 OR near")
-    cols = ["r", "id", "n", "m", "short", "long", "c", "role", "near"]
-    kinds = "r binary, id binary, n int, m int, short int, long int, c binary, role int, near boolean"
-    rows = rows.select(*cols, "diff").mapInArrow(_entries, f"{kinds}, entry long, rank int")
+    cols = ["r", "id", F.col("n").cast("long"), F.col("m").cast("long"), "short", "long", "c", "role", "near"]
+    kinds = "r binary, id binary, n long, m long, short int, long int, c binary, role int, near boolean"
+    around = st.put(rows.select(*cols, "diff"), "around")
+    rows = around.mapInArrow(_entries, f"{kinds}, entry long")
+    # a difference's entries that lead to no pair come first, then those that lead to the fewest
+    weigh = F.expr("sum(int(role = 0)) * sum(int(role > 0 AND near)) + sum(int(role = 1)) * (sum(int(role = 1)) - 1)").alias("pairs")
+    weights = rows.groupBy("r", "entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), weigh).where("lo <> hi AND pairs > 0")
+    own = Window.partitionBy("r", "id")
+    rows = rows.join(weights.select("r", "entry", "pairs"), ["r", "entry"])
+    rows = rows.withColumn("rank", F.row_number().over(own.orderBy("pairs", "entry")) - F.count("*").over(own) + F.col("m"))
     # as x, as y to any, as y to sets of no component
     rows = rows.withColumn("px", F.expr("rank <= short")).withColumn("py", F.expr("role > 0 AND near AND rank <= long")).withColumn("pz", F.expr("role = 1 AND rank <= short"))
-    rows = st.put(rows.where("px OR py OR pz").drop("rank", "short", "long"), "entries")
-    # entries of the same sets lead to the same pairs: one of them is joined
+    rows = st.put(rows.where("px OR py OR pz").drop("short", "long", "near"), "entries")
+    # entries of the same sets lead to the same pairs: the first of them is joined
     flags = ("id", "px", "py", "pz")
     same = rows.groupBy("r", "entry").agg(
         F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64(*flags)).alias("h1"), F.bit_xor(F.xxhash64(*flags, F.lit(7))).alias("h2"), F.count("*").alias("sets"),
-        F.expr("bool_or(px) AND bool_or(py OR pz)").alias("both"))
-    one = same.where("lo <> hi AND both").groupBy("r", "h1", "h2", "sets").agg(F.min("entry").alias("entry")).select("r", "entry")
+        F.expr("bool_or(px) AND bool_or(py OR pz)").alias("both"), F.first("pairs").alias("pairs"))
+    one = same.where("lo <> hi AND both").groupBy("r", "h1", "h2", "sets").agg(F.min_by("entry", F.struct("pairs", "entry")).alias("entry")).select("r", "entry")
     rows = st.put(rows.join(one, ["r", "entry"]), "kept")
     x = rows.where("px").alias("x")
     y = rows.where("py OR pz").alias("y")
-    fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {den + num} * abs(x.m - y.m) <= {den - num} * (x.n + y.n)"
+    # where two differences meet first, what follows must do for a link
+    rest = f"{2 * (den + num)} * (1 + least(x.m - x.rank, y.m - y.rank)) >= {den + num} * (x.m + y.m) - {den - num} * (x.n + y.n)"
+    fits = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {den + num} * abs(x.m - y.m) <= {den - num} * (x.n + y.n) AND {rest}"
     roles = "(x.role = 0 AND y.py OR x.role = 1 AND y.pz AND x.id < y.id)"
     pairs = x.join(y, ["r", "entry"]).where(f"x.c <> y.c AND {roles} AND {fits}")
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
@@ -358,7 +365,16 @@ def _links(sig: DataFrame, sets: DataFrame, st: Stage, num: int, den: int) -> Da
         found = st.put(found, name)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            comp = components(links, st, f"cc-{name}")
+            if comp is None:
+                comp = components(found, st, f"cc-{name}")
+                return
+            # only the components so far are merged
+            of = [comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+            merged = found.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            new = components(merged, st, f"cc-{name}").withColumnRenamed("component", "now")
+            both = comp.withColumnRenamed("node", "of").join(new, comp.component == new.node, "left").select(F.col("of").alias("node"), F.coalesce("now", "component").alias("component"))
+            alone = new.join(comp.select("node"), "node", "left_anti").select("node", F.col("now").alias("component"))
+            comp = st.put(both.unionByName(alone), f"comp-{name}")
 
     def placed(df: DataFrame) -> DataFrame:
         if comp is None:
@@ -449,7 +465,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     st.drop("full")
     sig = st.put(sets.mapInArrow(_signatures(num, den), "s long, id binary, n int, shared int"), "sig")
     comp = _links(sig, sets, st, num, den)
-    st.drop("sig", "sets", "placed", "groups", "few", "many", "met", "wide", "diffs", "entries", "kept", "across")
+    st.drop("sig", "sets", "placed", "groups", "few", "many", "met", "wide", "diffs", "around", "entries", "kept", "across")
 
     own = classes.withColumn("node", name)
     if comp is None:

@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from chronoweave.llm import components as cc
 from chronoweave.llm import jaccard
 from chronoweave.llm._store import Stage
 from chronoweave.llm.components import components
@@ -140,3 +142,52 @@ def test_components(spark):
                 comp[a] = comp[b] = min(comp[a], comp[b])
     assert got == comp
     assert components(spark.createDataFrame([], "a long, b long"), Stage(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_both_ways(spark, monkeypatch, few):
+    """Merged in one task and step by step: the same components, of numbers and of bytes."""
+    monkeypatch.setattr(cc, "FEW", few)
+    r = random.Random(9)
+    edges = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 130)]
+    comp = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in range(60):
+        for a, b in edges:
+            if a != b:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["component"] for r in components(frame, Stage(spark, "t")).collect()} == comp
+    wide = frame.selectExpr("unhex(lpad(hex(a), 4, '0')) a", "unhex(lpad(hex(b), 4, '0')) b")
+    assert {int.from_bytes(r["node"]): int.from_bytes(r["component"]) for r in components(wide, Stage(spark, "t")).collect()} == comp
+
+
+def _around(spark, diffs, n=60):
+    """``_across`` on sets of no component around one pivot: (id, entries of the difference)."""
+    rows = []
+    for i, d in diffs:
+        m = len(d)
+        half, far = (m + 1) // 2, m - n * 20 // 80  # the pivot has n entries too
+        rows.append((b"r", bytes([i]), False, n, m, m - max(1, half, far) + 1, m - max(1, far) + 1, np.array(sorted(d), np.int64).tobytes(), bytes([i])))
+    kinds = "r binary, id binary, link boolean, n int, m int, short int, long int, diff binary, c binary"
+    hubs = spark.createDataFrame([], "c binary, hub binary, size long")
+    return jaccard._across(spark.createDataFrame(rows, kinds), hubs, lambda df: df.withColumn("c", F.col("id")), Stage(spark, "t"), 80, 100)
+
+
+def test_differences_meet_at_their_rarest_entries(spark):
+    """Sets that share under half of their differences, the first ones by number, are no candidates; one pair that shares more is."""
+    common = list(range(1, 9))
+    diffs = [(i, common + [100 * i + k for k in range(12)]) for i in range(1, 41)]
+    diffs += [(50, common + [9000 + k for k in range(12)]), (51, common + [9000 + k for k in range(11)] + [9999])]
+    assert {(r["a"], r["b"]) for r in _around(spark, diffs).collect()} == {(bytes([50]), bytes([51]))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_pair_of_differences_is_missed(spark, seed):
+    r, n = random.Random(seed), 40  # no set is linked with the pivot
+    bases = [r.sample(range(30), 14) for _ in range(6)]
+    diffs = [(i, set(r.sample(r.choice(bases), r.randrange(9, 15))) | {1000 * i + k for k in range(r.randrange(2, 5))}) for i in range(1, 60)]
+    got = {(x["a"], x["b"]) for x in _around(spark, diffs, n).collect()}
+    for i, x in diffs:
+        for j, y in diffs:
+            if i < j and 360 * len(x & y) >= 180 * (len(x) + len(y)) - 20 * 2 * n and x & y:
+                assert (bytes([i]), bytes([j])) in got
