@@ -402,8 +402,15 @@ def _links(sig: DataFrame, sets: DataFrame, st: Stage, num: int, den: int) -> Da
     near = st.put(_verify(st.put(few, "few"), sets, num, den), "near")
 
     # 3. larger ones by differences from their pivots, the hubs of components
-    many = st.put(at.join(groups.where(F.col("sets") > TOGETHER).select("s"), "s").select("s", "id", "c"), "many")
-    nodes = st.put(many.select("id", "c").distinct(), "nodes")
+    # the components of a signature, and all of their sets: a row a component, however many of its sets have it
+    seen = at.where("c = id").select("s", "c").unionByName(at.where("c <> id").select("s", "c").distinct())
+    many = st.put(seen.join(groups.where(F.col("sets") > TOGETHER).select("s"), "s").distinct(), "many")
+    nodes = many.select("c").distinct()
+    if comp is None:
+        nodes = nodes.withColumn("id", F.col("c"))
+    else:
+        nodes = nodes.join(comp, F.col("c") == F.col("component"), "left").select(F.coalesce("node", "c").alias("id"), "c")
+    nodes = st.put(nodes, "nodes")
     if links is None:
         hubs = nodes.select("c", F.col("id").alias("hub"), F.lit(0).cast("long").alias("size")).limit(0)
     else:
@@ -411,7 +418,7 @@ def _links(sig: DataFrame, sets: DataFrame, st: Stage, num: int, den: int) -> Da
         hubs = degree.join(comp, "node").groupBy(F.col("component").alias("c")).agg(F.max(F.struct("count", "node")).alias("h"), F.count("*").alias("size"))
         hubs = hubs.select("c", F.col("h.node").alias("hub"), "size")
     hubs = st.put(hubs, "hubs")
-    met = many.select("s", "c").distinct().join(hubs, "c", "left")  # a set of no component is its own hub
+    met = many.join(hubs, "c", "left")  # a set of no component is its own hub
     met = met.select("s", "c", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("hub", "c").alias("hub")).alias("h"))
     met = st.put(met, "met")
     # of two components the smaller one's sets meet the larger one's hub; sets of no component meet the largest hub
